@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rill.llm import simhash
+from rill.llm import quality, simhash
 from rill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,9 @@ def query(f):
 @query
 def op2_simhash(spark, d):
     return simhash.near_duplicates(table(spark, d, "documents"))
+
+
+@query
+def op6_quality(spark, d):
+    docs = table(spark, d, "documents")
+    return quality.judge(docs, quality.fit_rules(docs, table(spark, d, "labels")))
