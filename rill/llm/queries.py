@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rill.llm import quality, simhash
+from rill.llm import packing, quality, simhash
 from rill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,3 +28,8 @@ def op2_simhash(spark, d):
 def op6_quality(spark, d):
     docs = table(spark, d, "documents")
     return quality.judge(docs, quality.fit_rules(docs, table(spark, d, "labels")))
+
+
+@query
+def op4_packing(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
