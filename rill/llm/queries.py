@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rill.llm import packing, quality, simhash
+from rill.llm import packing, quality, simhash, substring
 from rill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,28 @@ def op6_quality(spark, d):
 @query
 def op4_packing(spark, d):
     return packing.pack_documents(table(spark, d, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op9_substring(spark, d):
+    return substring.remove_repeats(table(spark, d, "documents"))
+
+
+ORACLES["op9_substring"] = r"""
+with w as (
+    select row_number() over () r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') ws from documents
+), windows as (
+    select r, unnest(range(1, len(ws) - 33)) s, ws from w where len(ws) >= 35
+), hashed as (
+    select r, s, sha256(array_to_string(ws[s:s + 34], ' ')) h from windows
+), again as (
+    select h from hashed group by h having count(*) > 1
+), gone as (
+    select r, list_distinct(flatten(list(range(s, s + 35)))) gone from hashed join again using (h) group by r
+), kept as (
+    select doc_id, len(ws) n, case when gone is null then ws
+        else list_transform(list_filter(range(1, len(ws) + 1), i -> not list_contains(gone, i)), i -> ws[i]) end k
+    from w left join gone using (r)
+)
+select doc_id, n::bigint n_words, (n - len(k))::bigint n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
+"""
