@@ -12,6 +12,7 @@ Each round is written to the shared folder. Packing moves (id, length) rows alon
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from rill.llm.common import saved
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a shard on average; a task holds about a hundred bytes for each.
 SHARD = 20_000
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Chunks, and words, whose ids a worker remembers, in each of two generations.
+REMEMBERED = 300_000
 #: A shard also gives up sequences that are emptier than this share of the capacity.
 LOOSE = 0.005
 
@@ -33,11 +34,31 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+class Remembered(dict):
+    """A bounded cache of two generations: when the young one is full it becomes the old one."""
+
+    def __init__(self, make, most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def learn(self, keys: set[str]) -> None:
+        new = keys.difference(self)
+        if len(self) + len(new) > self.most:
+            self.old = dict(self)
+            self.clear()
+            new = keys
+        known = {k: v for k in new if (v := self.old.get(k)) is not None}
+        self.update(known)
+        if missing := list(new.difference(known)):
+            self.update(zip(missing, self.make(missing), strict=True))
+
+
 class ChunkEncoder:
     """Ids of texts, encoded a chunk between blanks at a time and remembered.
 
-    The vocabulary's normalizer and splitter work inside such chunks only, so the ids of a text are those of
-    its chunks in a row. Special tokens' strings are ordinary text.
+    The vocabulary's normalizer and splitter work inside such chunks only, so the ids of a text are those of its
+    chunks in a row. They also part a word from the full stops and commas behind it and fold its case, so a
+    chunk of Latin letters is a word and its tail. Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -49,27 +70,54 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def learn(self, chunks: set[str]) -> None:
-        new = list(chunks - self.known.keys())
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, list(chunks)
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            self.known.update((c, tuple(e.ids)) for c, e in zip(some, self.encode_batch(some, add_special_tokens=False), strict=True))
-
-    def ids(self, text: str) -> np.ndarray:
-        chunks = text.translate(_BLANKS).split(" ")
-        self.learn(set(chunks))
-        known, out = self.known, []
-        for c in chunks:
-            out += known[c]
-        out.append(END_ID)
-        return np.array(out, "<u4")
-
-
-_BLANKS = str.maketrans("\n\t\r", "   ")
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.words, self.others = Remembered(self._encoded_words), Remembered(self._encoded)
+        self.chunks = Remembered(self._joined)
+        self.end = np.uint32(END_ID).astype("<u4").tobytes()
+
+    def _encoded(self, parts: list[str]) -> Iterator[bytes]:
+        for e in self.encode_batch(parts, add_special_tokens=False):
+            yield array("I", e.ids).tobytes()
+
+    def _encoded_words(self, words: list[str]) -> Iterator[bytes]:
+        """Words of letters are encoded many at once: each ends with its only id that ends a word."""
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.encode_batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
+            if len(ends) != len(some):
+                raise ValueError("this vocabulary does not end words")
+            yield from map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
+
+    def _joined(self, chunks: list[str]) -> Iterator[bytes]:
+        split = list(map(_word_and_tail, chunks))
+        self.words.learn({word for word, _ in split if word})
+        self.others.learn({other for _, other in split if other})
+        words, others = self.words, self.others
+        return ((words[w] if w else b"") + (others[o] if o else b"") for w, o in split)
+
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text with the end id; texts are taken in blocks of about a hundred thousand chunks."""
+        at = 0
+        while at < len(texts):
+            block, n = [], 0
+            while at < len(texts) and n < 100_000:
+                block.append(texts[at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                n += len(block[-1])
+                at += 1
+            self.chunks.learn({c for chunks in block for c in chunks})
+            known = self.chunks.__getitem__
+            for chunks in block:
+                yield np.frombuffer(b"".join(map(known, chunks)) + self.end, "<u4")
+
+
+def _word_and_tail(chunk: str) -> tuple[str, str]:
+    """A word of Latin letters and what follows it, or nothing and the chunk."""
+    word = chunk.rstrip(".,")
+    if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
+        return word.lower(), chunk[len(word) :]
+    return "", chunk
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -79,8 +127,8 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY)
         encoder = ChunkEncoder(vocabulary)
         for b in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.ids(text or "")
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode(texts), strict=True):
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     rows.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes())))
