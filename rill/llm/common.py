@@ -32,3 +32,16 @@ def dropped(df: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def per_worker(key: tuple, make):
+    """What `make()` gives, made once in a Python worker: loaded vocabularies and caches serve its later tasks.
+
+    Functions reach workers pickled by value, so module globals are not shared between tasks; `sys` is.
+    """
+    import sys
+
+    store = sys.__dict__.setdefault("rill_per_worker", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]

@@ -11,6 +11,7 @@ Each round is written to the shared folder. Packing moves (id, length) rows alon
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -20,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rill.llm.common import saved
+from rill.llm.common import per_worker, saved
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a shard on average; a task holds about a hundred bytes for each.
 SHARD = 20_000
-#: Chunks, and words, whose ids a worker remembers, in each of two generations.
-REMEMBERED = 300_000
+#: Chunks whose ids a worker remembers, in each of two generations.
+REMEMBERED = 150_000
 #: A shard also gives up sequences that are emptier than this share of the capacity.
 LOOSE = 0.005
 
@@ -50,15 +51,16 @@ class Remembered(dict):
         known = {k: v for k in new if (v := self.old.get(k)) is not None}
         self.update(known)
         if missing := list(new.difference(known)):
-            self.update(zip(missing, self.make(missing), strict=True))
+            self.update(self.make(missing))
 
 
 class ChunkEncoder:
     """Ids of texts, encoded a chunk between blanks at a time and remembered.
 
     The vocabulary's normalizer and splitter work inside such chunks only, so the ids of a text are those of its
-    chunks in a row. They also part a word from the full stops and commas behind it and fold its case, so a
-    chunk of Latin letters is a word and its tail. Special tokens' strings are ordinary text.
+    chunks in a row. They fold case and part full stops and commas from what stands before, unless that is a sign
+    as well; texts of Latin-1 characters are folded and parted first, which makes for fewer different chunks.
+    Special tokens' strings are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -72,30 +74,20 @@ class ChunkEncoder:
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.words, self.others = Remembered(self._encoded_words), Remembered(self._encoded)
-        self.chunks = Remembered(self._joined)
+        self.known = Remembered(self._encoded)
         self.end = np.uint32(END_ID).astype("<u4").tobytes()
 
-    def _encoded(self, parts: list[str]) -> Iterator[bytes]:
-        for e in self.encode_batch(parts, add_special_tokens=False):
-            yield array("I", e.ids).tobytes()
-
-    def _encoded_words(self, words: list[str]) -> Iterator[bytes]:
+    def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of letters are encoded many at once: each ends with its only id that ends a word."""
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
+        others = [c for c in chunks if not _is_word(c)]
+        for c, e in zip(others, self.encode_batch(others, add_special_tokens=False), strict=True):
+            yield c, array("I", e.ids).tobytes()
+        letters = [c for c in chunks if _is_word(c)]
+        for at in range(0, len(letters), 1000):
+            some = letters[at : at + 1000]
             ids = np.array(self.encode_batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            if len(ends) != len(some):
-                raise ValueError("this vocabulary does not end words")
-            yield from map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends))
-
-    def _joined(self, chunks: list[str]) -> Iterator[bytes]:
-        split = list(map(_word_and_tail, chunks))
-        self.words.learn({word for word, _ in split if word})
-        self.others.learn({other for _, other in split if other})
-        words, others = self.words, self.others
-        return ((words[w] if w else b"") + (others[o] if o else b"") for w, o in split)
+            yield from zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text with the end id; texts are taken in blocks of about a hundred thousand chunks."""
@@ -103,28 +95,39 @@ class ChunkEncoder:
         while at < len(texts):
             block, n = [], 0
             while at < len(texts) and n < 100_000:
-                block.append(texts[at].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+                block.append(_chunks(texts[at]))
                 n += len(block[-1])
                 at += 1
-            self.chunks.learn({c for chunks in block for c in chunks})
-            known = self.chunks.__getitem__
+            self.known.learn(set().union(*block))
+            known = self.known.__getitem__
             for chunks in block:
                 yield np.frombuffer(b"".join(map(known, chunks)) + self.end, "<u4")
 
 
-def _word_and_tail(chunk: str) -> tuple[str, str]:
-    """A word of Latin letters and what follows it, or nothing and the chunk."""
-    word = chunk.rstrip(".,")
-    if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:
-        return word.lower(), chunk[len(word) :]
-    return "", chunk
+def _is_word(chunk: str) -> bool:
+    """Whether all are Latin-1 letters, of which no change of case makes signs."""
+    return chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff")
+
+
+_SIGN_BEFORE = re.compile(r"[^\w\s][.,]|_[.,]")
+
+
+def _chunks(text: str) -> list[str]:
+    try:
+        text.encode("latin-1")
+        low = text.lower()
+        if not _SIGN_BEFORE.search(low):
+            text = low.replace(".", " .").replace(",", " ,")
+    except UnicodeEncodeError:
+        pass
+    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of each row of `docs` (doc_id, text); a null text is an empty one and gives one piece, the end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = per_worker(("chunks", vocabulary), lambda: ChunkEncoder(vocabulary))
         for b in batches:
             rows: list[tuple] = []
             texts = [t or "" for t in b.column(1).to_pylist()]
