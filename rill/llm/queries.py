@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rill.llm import packing, quality, secrets, simhash, substring, toxicity
+from rill.llm import html, mixing, packing, quality, secrets, simhash, substring, toxicity
 from rill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,14 @@ def op1_toxicity(spark, d):
 @query
 def op7_secrets(spark, d):
     return secrets.scan(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op3_html(spark, d):
+    return html.extract(table(spark, d, "pages"))
+
+
+@query
+def op5_mixing(spark, d):
+    mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "rill_mix.*")
