@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rill.llm.common import per_worker
+
 KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: A candidate's least length, and the most characters to a token of a string that counts as random.
@@ -110,7 +112,7 @@ def scan(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Counts and spans of each row of `docs` (doc_id, text); null texts are empty ones, null ids stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(ranks_path, pattern)
+        scanner = per_worker(("scanner", ranks_path, pattern), lambda: Scanner(ranks_path, pattern))
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -129,7 +131,7 @@ def mask_secrets(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """`docs` with the secrets of `text` masked and `n_chars` counted anew where a text changed; all rows stay."""
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scanner = Scanner(ranks_path, pattern)
+        scanner = per_worker(("scanner", ranks_path, pattern), lambda: Scanner(ranks_path, pattern))
         for a in texts:
             yield pa.array([t if t is None else masked(t, scanner.spans(t)) for t in a.to_pylist()], pa.string())
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rill.llm.common import dropped, saved
+from rill.llm.common import dropped, per_worker, saved
 
 WINDOW, ANCHOR = 35, 12
 REMEMBERED = 500_000
@@ -109,7 +109,7 @@ WINDOWS = "anchor long, place long, window long, doc_id long, text_hash long, s
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text_hash, text); a batch is worked on in blocks of about a million words."""
-    hasher = WordHasher()
+    hasher = per_worker(("words",), WordHasher)
     names = [f.split()[0] for f in PIECES.split(", ")]
     for b in batches:
         row = 0
@@ -130,7 +130,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _asked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of (doc_id, text_hash, text, asks): hashes of the asked pieces' windows, with their places at the anchor."""
-    hasher = WordHasher()
+    hasher = per_worker(("words",), WordHasher)
     names = [f.split()[0] for f in WINDOWS.split(", ")]
     for b in batches:
         parts: list[list[np.ndarray]] = []

@@ -17,7 +17,8 @@ from __future__ import annotations
 import math
 import re
 from array import array
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,13 +27,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rill.llm.common import saved
+from rill.llm.common import per_worker, saved
 
 SAMPLE, LEXICON = 8_000, 2_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: The least toxic share of a lexicon word's evidence, and how many words may pass by chance: Chernoff's bound on
 #: the chance of a word's evidence, times the number of words tested, must stay below it.
-MIN_SHARE, EXPECTED_FALSE = 0.5, 0.1
+MIN_SHARE, EXPECTED_FALSE = 0.75, 0.1
+
+#: Lengths of word beginnings that the lexicon may hold.
+STEM = 3, 8
 
 #: Classes of characters: 0 a word border, 1-26 the letters a-z, 27 any other letter.
 CLASSES, ORDER = 28, 4
@@ -44,7 +48,7 @@ LOOKALIKES = {
     "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
 #: Costs in nats.
-SUBSTITUTED, DROPPED, PARTED, REPEATED, REPEATED_AGAIN = 1.5, 1.0, 1.0, 3.0, 0.3
+SUBSTITUTED, DROPPED, SIGN_DROPPED, PARTED, REPEATED, REPEATED_AGAIN = 1.5, 1.0, 2.5, 1.0, 3.0, 0.3
 BEAM, LONGEST, REMEMBERED = 12, 64, 300_000
 EDGES = ".,;:?\"'*&%#)]}[{~_-…»«“”‘’"
 
@@ -116,7 +120,7 @@ class Restorer:
                     if text[-1:] == letter:
                         offer(context, score - cost - repeated, text)
                 if not plain:
-                    offer(context, score - (0.1 if ch == " " else DROPPED), text)
+                    offer(context, score - (0.1 if ch == " " else SIGN_DROPPED if letters else DROPPED), text)
                     if text and text[-1] != " ":
                         offer(at % CONTEXTS, score - PARTED + model[at], text + " ")
             beam = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
@@ -155,12 +159,29 @@ _DOUBLED = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 
 
+def _restorer(letters: array) -> Restorer:
+    """The worker's restorer for this language model, with what it has read before."""
+    return per_worker(("restorer", xxhash.xxh64_intdigest(letters.tobytes())), lambda: Restorer(letters))
+
+
+def features(word: str) -> list[str]:
+    """A word and its beginnings, most specific first; inflected forms share a beginning."""
+    return [word, *(word[:k] + "*" for k in range(min(STEM[1], len(word) - 1), STEM[0] - 1, -1))]
+
+
 @dataclass(frozen=True)
 class Model:
     letters: array
     lexicon: dict[str, float]
     base: float
 
+    def find(self, words: Iterable[str]) -> Iterator[str]:
+        """The most specific lexicon entry of each word that has one."""
+        for w in words:
+            hit = next((f for f in features(w) if f in self.lexicon), None)
+            if hit is not None:
+                yield hit
+
     def score(self, found: set[str]) -> float:
         clean = 1 - self.base
         for w in sorted(found):
@@ -182,28 +203,48 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
     return texts.join(F.broadcast(chosen), "rill_id").select((F.col("rill_toxic") == 1).alias("toxic"), "text")
 
 
-def _word_rows(letters: array) -> Callable:
+def _evidence_rows(letters: array) -> Callable:
+    """Of (toxic, text): each feature's neighbourhoods in toxic texts, and in how many clean texts of a batch it is."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(letters)
+        restorer = _restorer(letters)
         for b in batches:
-            words, toxic, around = [], [], []
+            toxic: set[tuple[str, int]] = set()
+            clean: Counter[str] = Counter()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 low = (text or "").lower()
                 read = [w for t in low.split() for w in restorer.words(t)]
-                near = {w: xxhash.xxh64_intdigest(" ".join(read[max(0, i - 1) : i + 2])) >> 1 for i, w in enumerate(read)}
-                near |= {w: near.get(w, len(low)) for w in restorer.spaced(low)}
-                words += near.keys()
-                around += near.values()
-                toxic += [label] * len(near)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.bool_()), pa.array(around, pa.int64())], ["word", "toxic", "around"])
+                if label:
+                    near = {f: i for i, w in enumerate(read) for f in features(w)}
+                    toxic |= {(f, xxhash.xxh64_intdigest(" ".join([*read[max(0, i - 1) : i], *read[i + 1 : i + 2]])) >> 1) for f, i in near.items()}
+                    toxic |= {(f, xxhash.xxh64_intdigest(low) >> 1) for w in restorer.spaced(low) for f in features(w) if f not in near}
+                else:
+                    clean.update({f for w in set(read).union(restorer.spaced(low)) for f in features(w)})
+            names = [f for f, _ in toxic] + list(clean)
+            around = pa.array([c for _, c in toxic] + [None] * len(clean), pa.int64())
+            counts = pa.array([0] * len(toxic) + list(clean.values()), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), around, counts], ["word", "around", "clean"])
 
     return run
 
 
-def _found(restorer: Restorer, lexicon: dict[str, float], text: str | None) -> set[str]:
-    low = (text or "").lower()
-    found = {w for t in set(low.split()) for w in restorer.words(t) if w in lexicon}
-    return found | {w for w in restorer.spaced(low) if w in lexicon}
+class Finder:
+    """Lexicon entries of texts; remembers a bounded number of tokens, most of which have none."""
+
+    def __init__(self, model: Model):
+        self.model, self.restorer, self.known = model, _restorer(model.letters), {}
+
+    def __call__(self, text: str | None) -> set[str]:
+        low = (text or "").lower()
+        tokens, known = set(low.split()), self.known
+        if new := tokens.difference(known):
+            if len(known) + len(new) > REMEMBERED:
+                known.clear()
+                new = tokens
+            for t in new:
+                known[t] = tuple(self.model.find(self.restorer.words(t)))
+        found = {hit for t in tokens if (hits := known[t]) for hit in hits}
+        return found.union(self.model.find(self.restorer.spaced(low)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -213,10 +254,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts[gram] = n
     letters = log_probabilities(counts.reshape([CLASSES] * ORDER))
     training = training_texts(docs, labels, sample)
-    rows = training.mapInArrow(_word_rows(letters), "word string, toxic boolean, around long")
-    evidence = saved(rows.groupBy("word").agg(
-        F.countDistinct(F.when(F.col("toxic"), F.col("around"))).alias("toxic"), F.count_if(~F.col("toxic")).alias("clean")
-    ))
+    rows = training.mapInArrow(_evidence_rows(letters), "word string, around long, clean long")
+    evidence = saved(rows.groupBy("word").agg(F.countDistinct("around").alias("toxic"), F.sum("clean").alias("clean")))
     words, toxic, clean = evidence.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("clean")).first()
     lexicon = {}
     if toxic:
@@ -230,9 +269,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         lexicon = {r["word"]: r["weight"] for r in best.collect()}
 
     def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(letters)
+        find = Finder(Model(letters, lexicon, 0.0))
         for b in batches:
-            none = [not _found(restorer, lexicon, t) for t in b.column(1).to_pylist()]
+            none = [not find(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(none, pa.bool_())], ["toxic", "none"])
 
     without = training.mapInArrow(bare, "toxic boolean, none boolean").where("none")
@@ -247,9 +286,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model.letters)
+        find = Finder(model)
         for b in batches:
-            scores = [model.score(_found(restorer, model.lexicon, t)) for t in b.column(2).to_pylist()]
+            scores = [model.score(find(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
