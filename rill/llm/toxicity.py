@@ -33,7 +33,7 @@ SAMPLE, LEXICON = 8_000, 2_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: The least toxic share of a lexicon word's evidence, and how many words may pass by chance: Chernoff's bound on
 #: the chance of a word's evidence, times the number of words tested, must stay below it.
-MIN_SHARE, EXPECTED_FALSE = 0.75, 0.1
+MIN_SHARE, EXPECTED_FALSE = 0.85, 0.1
 
 #: Lengths of word beginnings that the lexicon may hold.
 STEM = 3, 8
