@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rill.llm import html, mixing, packing, quality, secrets, simhash, substring, toxicity
+from rill.llm import html, licenses, mixing, packing, quality, secrets, simhash, substring, toxicity
 from rill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def op9_substring(spark, d):
 
 ORACLES["op9_substring"] = r"""
 with w as (
-    select row_number() over () r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') ws from documents
+    select row_number() over () r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws from documents
 ), windows as (
     select r, unnest(range(1, len(ws) - 33)) s, ws from w where len(ws) >= 35
 ), hashed as (
@@ -53,7 +53,7 @@ with w as (
     select r, list_distinct(flatten(list(range(s, s + 35)))) gone from hashed join again using (h) group by r
 ), kept as (
     select doc_id, len(ws) n, case when gone is null then ws
-        else list_transform(list_filter(range(1, len(ws) + 1), i -> not list_contains(gone, i)), i -> ws[i]) end k
+        else list_transform(list_filter(range(1, len(ws) + 1), lambda i: not list_contains(gone, i)), lambda i: ws[i]) end k
     from w left join gone using (r)
 )
 select doc_id, n::bigint n_words, (n - len(k))::bigint n_removed, sha256(array_to_string(k, ' ')) kept_sha256 from kept
@@ -80,3 +80,24 @@ def op3_html(spark, d):
 def op5_mixing(spark, d):
     mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "rill_mix.*")
+
+
+@query
+def op10_licenses(spark, d):
+    return licenses.scan(table(spark, d, "documents"))
+
+
+_NORMAL = (
+    r"list_filter(regexp_split_to_array(regexp_replace(translate(lower(coalesce(text, '')), '" + licenses.STRIPPED.replace("'", "''")
+    + r"', ''), '\.+([\x20\x09-\x0D]|$)', '\1', 'g'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+)
+_SHINGLES = f"unnest(list_distinct(list_transform(range(1, len(w) - {licenses.SHINGLE - 2}), lambda i: array_to_string(w[i:i + {licenses.SHINGLE - 1}], ' '))))"
+ORACLES["op10_licenses"] = f"""
+with d as (select row_number() over () r, doc_id, {_NORMAL} w from documents),
+t as (select license, {_NORMAL} w from (values {', '.join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in licenses.TEMPLATES.items())}) v(license, text)),
+ds as (select r, doc_id, {_SHINGLES} s from d),
+ts as (select license, {_SHINGLES} s from t),
+n as (select license, count(*) n from ts group by license)
+select doc_id, license, count(*) n_matched, n n_shingles, count(*)::double / n containment
+from ds join ts using (s) join n using (license) group by r, doc_id, license, n having count(*) >= {licenses.THRESHOLD} * n
+"""
