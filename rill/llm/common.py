@@ -45,3 +45,11 @@ def per_worker(key: tuple, make):
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+def released(spark) -> None:
+    """Have the driver collect what finished rounds left: Spark then removes their shuffle files."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rill.llm import html, licenses, mixing, packing, quality, secrets, simhash, substring, toxicity
+from rill.llm import html, licenses, mixing, neighbours, packing, quality, secrets, simhash, substring, toxicity
 from rill.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,8 @@ n as (select license, count(*) n from ts group by license)
 select doc_id, license, count(*) n_matched, n n_shingles, count(*)::double / n containment
 from ds join ts using (s) join n using (license) group by r, doc_id, license, n having count(*) >= {licenses.THRESHOLD} * n
 """
+
+
+@query
+def op8_neighbours(spark, d):
+    return neighbours.nearest(table(spark, d, "embeddings"))
