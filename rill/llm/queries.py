@@ -106,3 +106,10 @@ from ds join ts using (s) join n using (license) group by r, doc_id, license, n
 @query
 def op8_neighbours(spark, d):
     return neighbours.nearest(table(spark, d, "embeddings"))
+
+
+@query
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
