@@ -137,6 +137,6 @@ def mask_secrets(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     mask = F.arrow_udf(run, "string")
     hidden = docs.withColumn("rill_masked", mask(F.col("text").cast("string")))
-    length = F.when(F.col("rill_masked") == F.col("text"), F.col("n_chars")).otherwise(F.length("rill_masked")).cast("long")
+    length = F.when(F.col("rill_masked").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("rill_masked")).cast("long")
     columns = {"text": F.col("rill_masked"), "n_chars": length}
     return hidden.select(*(columns[c].alias(c) if c in columns else F.col(c) for c in docs.columns))
