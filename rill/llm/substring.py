@@ -30,7 +30,7 @@ from rill.llm.common import dropped, per_worker, saved
 
 WINDOW, ANCHOR = 35, 12
 REMEMBERED = 500_000
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+BASE = 0x9E3779B97F4A7C15
 KEY = ("doc_id", "text_hash")
 
 
@@ -60,20 +60,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def run_hashes(x: np.ndarray, width: int) -> np.ndarray:
     """Hash of each run of `width` values, by doubling: polynomial in an odd base modulo 2^64."""
-    n = len(x) - width + 1
+    n, modulus = len(x) - width + 1, 1 << 64
     if n <= 0:
         return np.empty(0, np.uint64)
-    out, done, power, part, size = np.zeros(n, np.uint64), 0, np.uint64(1), x, 1
+    out, done, power, part, size = np.zeros(n, np.uint64), 0, 1, x, 1
     base_power = BASE  # base ** size
     while True:
         if width & size:
-            out += power * part[done : done + n]
+            out += np.uint64(power) * part[done : done + n]
             done += size
-            power *= base_power
+            power = power * base_power % modulus
         if done == width:
             return mixed(out)
-        part = part[:-size] + base_power * part[size:]
-        base_power *= base_power
+        part = part[:-size] + np.uint64(base_power) * part[size:]
+        base_power = base_power * base_power % modulus
         size *= 2
 
 
@@ -91,7 +91,7 @@ def path_pieces(x: np.ndarray, ends: np.ndarray, window: int = WINDOW, anchor: i
     s, p = starts[first], at[first]
     last = s + count - 1
     shape = ((p - s) * 64 + count).astype(np.uint64)
-    piece = mixed(windows[s] + mixed(windows[last] + mixed(shape + BASE)))
+    piece = mixed(windows[s] + mixed(windows[last] + mixed(shape + np.uint64(BASE))))
     return runs[p], piece, s, count
 
 
