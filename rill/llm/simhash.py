@@ -100,7 +100,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = connected_components(fingerprint_links(distinct.select("fp")))
     members = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left")
     linked = members.where("root is not null")
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    smallest = saved(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
     component = F.coalesce("component_id", "first_id").alias("component_id")
     components = saved(members.join(smallest, "root", "left").select("fp", component))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
