@@ -22,7 +22,7 @@ from rill.llm.common import saved, words
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 7
 #: Documents in a shard of all sources on average; the longest block; blocks that an average source is to have.
-SHARD, BLOCK, FINENESS = 10_000, 64, 4096
+SHARD, BLOCK, FINENESS = 2_000, 64, 4096
 
 
 def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
