@@ -25,17 +25,14 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below `spark.checkpoint.dir`; only where that is unset (tests) a local one is made and set."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    """A fresh path below `spark.checkpoint.dir`; only where that is unset (tests), below a local folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rill-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rill-")
+        _OWN[app] = root
     return f"{root.rstrip('/')}/rill-{uuid.uuid4().hex}"
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Give the context a checkpoint directory, the cluster's own if it names one."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        root = spark.conf.get("spark.checkpoint.dir", "") or shared_folder(spark)
-        spark.sparkContext.setCheckpointDir(root)
