@@ -11,7 +11,6 @@ Each round is written to the shared folder. Packing moves (id, length) rows alon
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -79,10 +78,11 @@ class ChunkEncoder:
 
     def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
         """Words of letters are encoded many at once: each ends with its only id that ends a word."""
-        others = [c for c in chunks if not _is_word(c)]
+        letters, others = [], []
+        for c in chunks:  # of Latin-1 letters no change of case makes signs
+            (letters if c.isalpha() and (c.isascii() or max(c) <= "\xff") else others).append(c)
         for c, e in zip(others, self.encode_batch(others, add_special_tokens=False), strict=True):
             yield c, array("I", e.ids).tobytes()
-        letters = [c for c in chunks if _is_word(c)]
         for at in range(0, len(letters), 1000):
             some = letters[at : at + 1000]
             ids = np.array(self.encode_batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -104,19 +104,15 @@ class ChunkEncoder:
                 yield np.frombuffer(b"".join(map(known, chunks)) + self.end, "<u4")
 
 
-def _is_word(chunk: str) -> bool:
-    """Whether all are Latin-1 letters, of which no change of case makes signs."""
-    return chunk.isalpha() and (chunk.isascii() or max(chunk) <= "\xff")
-
-
-_SIGN_BEFORE = re.compile(r"[^\w\s][.,]|_[.,]")
+#: Of each Latin-1 character: d a full stop or comma, x a letter, digit or white space, s any other sign.
+_KINDS = bytes(b"d"[0] if chr(i) in ".," else b"x"[0] if chr(i).isalnum() or chr(i).isspace() else b"s"[0] for i in range(256))
 
 
 def _chunks(text: str) -> list[str]:
     try:
-        text.encode("latin-1")
         low = text.lower()
-        if not _SIGN_BEFORE.search(low):
+        kinds = low.encode("latin-1").translate(_KINDS)
+        if b"sd" not in kinds and b"dd" not in kinds:
             text = low.replace(".", " .").replace(",", " ,")
     except UnicodeEncodeError:
         pass
