@@ -14,6 +14,9 @@ which are constants bounded by the list of templates. Nothing is shuffled, so no
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +61,12 @@ TEMPLATES = {
 }
 
 
+def bare(text: Column) -> Column:
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), STRIPPED, "")
+
+
 def normal_words(text: Column) -> Column:
-    bare = F.translate(F.lower(F.coalesce(text, F.lit(""))), STRIPPED, "")
-    return words(F.regexp_replace(bare, r"\.+([\x20\x09-\x0D]|$)", "$1"))
+    return words(F.regexp_replace(bare(text), r"\.+([\x20\x09-\x0D]|$)", "$1"))
 
 
 def shingles(w: Column) -> Column:
@@ -125,10 +131,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     known = F.array(*(
         F.struct(F.lit(r["license"]).alias("license"), longs(keys[r["license"]]).alias("keys"), longs(r["s"]).alias("s")) for r in parts
     ))
-    low = F.lower(F.col("text").cast("string"))
-    has_cue = F.lit(False)
-    for c in cues:
-        has_cue = has_cue | low.contains(c)
+    # the array's only element is bound once, so the text is bared once for all cues
+    has_cue = F.exists(F.array(bare(F.col("text").cast("string"))), lambda t: reduce(or_, (t.contains(c) for c in cues)))
     w, h, at = F.col("rill_w"), F.col("rill_h"), F.col("rill_at")
     cue_at = F.filter(F.transform(w, lambda x, i: F.when(x.isin(cues), i)), lambda i: i.isNotNull())
     from_ = lambda n: F.array_distinct(F.flatten(F.transform(at, lambda p: F.sequence(F.greatest(F.lit(0), p - (n - 1)), p))))

@@ -28,7 +28,7 @@ def rows():
         out += [(100 + n, f"{prose(n, 40)} {text} {prose(-n, 40)}", "a"), (200 + n, text.upper().replace(" ", "\n"), "a"), (300 + n, text, "b"), (300 + n, text, "b")]
         if len(w) > 30:  # one word changed, and cut in half
             out += [(400 + n, " ".join([*w[:12], "other", *w[13:]]), "a"), (500 + n, " ".join(w[: len(w) // 2]), "a"), (600 + n, f"{' '.join(w[:20])} {prose(n, 9)} {' '.join(w[16:])}", "a")]
-    return [*out, (900, "license " * 300, "a"), (901, " ".join(licenses.TEMPLATES.values()), "a"), (902, "licensed under the license", "a")]
+    return [*out, (900, "license " * 300, "a"), (901, " ".join(licenses.TEMPLATES.values()), "a"), (902, "licensed under the license", "a"), (903, "Rele(ased) \"under\" the M'IT Li[cen]se...", "a")]
 
 
 def test_against_all_templates(spark, rows):
