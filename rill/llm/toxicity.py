@@ -3,7 +3,8 @@
 A character language model (four letters, counted over all documents) says how likely a restored text is; a
 channel says what writing it as observed costs: look-alike signs for letters, signs and blanks put between
 letters, letters repeated. Viterbi search over the lattice of readings restores each word, and each run of
-single characters that blanks pull apart. Restored words are scored with a lexicon learned from labels.
+single characters that blanks pull apart. Restored words are scored with a lexicon learned from labels, of words
+and of word beginnings, which inflected forms share; a word counts by the most specific entry it has.
 
 The lexicon is fitted on at most `SAMPLE` labelled documents outside the held-out fold, those with the smallest
 XXH64 of doc_id. A word's toxic evidence is the number of different neighbourhoods it has in toxic documents,
