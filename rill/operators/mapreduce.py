@@ -3,8 +3,6 @@
 Column functions are the fast path. `*_python` take opaque Python functions over Arrow batches.
 """
 
-from __future__ import annotations
-
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -42,3 +40,22 @@ def combine_partitions_python(df: DataFrame, column: str, function: Callable[[pa
             yield pa.RecordBatch.from_pydict({column: pa.array([function(b.column(0))], pa.int64())})
 
     return df.select(F.col(column).cast("long")).mapInArrow(run, f"`{column}` long")
+
+
+def reduce_per_partition(df: DataFrame, column: str, name: str = "total") -> DataFrame:
+    """A sum for each partition, as far as partitions go without an exchange of values."""
+    return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.sum(F.col(column).cast("long")).alias(name))
+
+
+def aggregate_python(df: DataFrame, keys: list[str], column: str, function: Callable[[pa.Array], float], name: str) -> DataFrame:
+    """An opaque aggregate of a double column over groups; each group's values must fit a task.
+
+    Prefer built-in aggregates: they are combined before the exchange, which an opaque function cannot be.
+    """
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("double")
+    def aggregate(values: pa.Array) -> float:
+        return function(values)
+
+    return df.groupBy(*keys).agg(aggregate(F.col(column).cast("double")).alias(name))

@@ -72,6 +72,13 @@ def click_view_ratio(joined: DataFrame) -> DataFrame:
     return both.withColumn("ratio", F.col("clicks").cast("double") / F.col("views"))
 
 
+def join_ratio(typed: DataFrame) -> DataFrame:
+    """The same ratio as a join of the counts of the two types on window and campaign, for counts that come apart."""
+    of = lambda t, name: typed.where(F.col("typ") == t).select("wid", "c_id", F.col("cnt").alias(name))
+    both = of(CLICK, "clicks").join(of(VIEW, "views"), ["wid", "c_id"])
+    return both.withColumn("ratio", F.col("clicks").cast("double") / F.col("views"))
+
+
 def window_counts(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("met"))
 

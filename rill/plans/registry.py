@@ -198,6 +198,28 @@ def mapreduce_python(spark, d):
     return mapreduce.reduce_sum(partial, "l_linenumber")
 
 
+@query("reduce_per_partition", "select cast(sum(l_linenumber) as bigint) total from lineitem")
+def reduce_per_partition(spark, d):
+    dealt = table(spark, d, "lineitem").select("l_linenumber").repartition(4)
+    return mapreduce.reduce_sum(mapreduce.reduce_per_partition(dealt, "l_linenumber"), "total")
+
+
+@query("aggregate_python", "select l_returnflag,max(l_quantity)-min(l_quantity) spread from lineitem group by 1")
+def aggregate_python(spark, d):
+    import pyarrow.compute as pc
+
+    spread = lambda v: pc.max(v).as_py() - pc.min(v).as_py()
+    return mapreduce.aggregate_python(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", spread, "spread")
+
+
+@query("integer_file", "select cast(range as integer) v from range(1000)")
+def integer_file(spark, d):
+    """Consecutive integers as a headerless file, and back."""
+    path = f"{shared_folder(spark)}/ints"
+    fixedwidth.write_fixed_width(spark.range(1000).selectExpr("cast(id as int) v"), path, "v i")
+    return fixedwidth.read_fixed_width(spark, path, "v i", rows_per_task=256)
+
+
 # Placement
 
 
@@ -316,6 +338,11 @@ def ysbm_ratio(spark, d):
     return A.click_view_ratio(_joined(spark, d, "click", "view"))
 
 
+@query("ysbm_ratio_join", _RATIO)
+def ysbm_ratio_join(spark, d):
+    return A.join_ratio(ysbm_full(spark, d))
+
+
 @query("wa_sharder", f"select {H} msg,{W} wid,count(*) cnt,max(ts) met from events group by 1,2")
 def wa_sharder(spark, d):
     events = A.with_window(A.with_window(table(spark, d, "events")), A.HOUR_MS, "msg")
