@@ -37,12 +37,15 @@ def dropped(df: DataFrame) -> None:
 def per_worker(key: tuple, make):
     """What `make()` gives, made once in a Python worker: loaded vocabularies and caches serve its later tasks.
 
-    Functions reach workers pickled by value, so module globals are not shared between tasks; `sys` is.
+    The first part of a key is a kind, of which a worker keeps one. Functions reach workers pickled by value, so
+    module globals are not shared between tasks; `sys` is.
     """
     import sys
 
     store = sys.__dict__.setdefault("rill_per_worker", {})
     if key not in store:
+        for other in [k for k in store if k[0] == key[0]]:
+            del store[other]
         store[key] = make()
     return store[key]
 
