@@ -71,23 +71,23 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.encode_batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        size = self.tokenizer.get_vocab_size()
-        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.model = self.tokenizer.model
         self.known = Remembered(self._encoded)
         self.end = np.uint32(END_ID).astype("<u4").tobytes()
+        probe = "One wörd,\ntwo. It's 3 x!"
+        if next(self.encode([probe])).tolist() != [*self.tokenizer.encode(probe, add_special_tokens=False).ids, END_ID]:
+            raise ValueError(f"{path}: words are not encoded one by one, in lower case and as bytes")
 
     def _encoded(self, chunks: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Words of letters are encoded many at once: each ends with its only id that ends a word."""
-        letters, others = [], []
+        """A word of Latin-1 letters goes straight to the library's model, as the splitter would hand it over."""
+        letters, others, tokenize = [], [], self.model.tokenize
         for c in chunks:  # of Latin-1 letters no change of case makes signs
             (letters if c.isalpha() and (c.isascii() or max(c) <= "\xff") else others).append(c)
+        for c in letters:
+            word = c.lower() if c.isascii() else c.lower().translate(_BYTES)
+            yield c, array("I", [t.id for t in tokenize(word)]).tobytes()
         for c, e in zip(others, self.encode_batch(others, add_special_tokens=False), strict=True):
             yield c, array("I", e.ids).tobytes()
-        for at in range(0, len(letters), 1000):
-            some = letters[at : at + 1000]
-            ids = np.array(self.encode_batch([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist()
-            yield from zip(some, map(raw.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True)
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text with the end id; texts are taken in blocks of about a hundred thousand chunks."""
@@ -104,6 +104,17 @@ class ChunkEncoder:
                 yield np.frombuffer(b"".join(map(known, chunks)) + self.end, "<u4")
 
 
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 characters as byte-level vocabularies write their UTF-8 bytes: printable bytes as the characters of
+    the same number, the others as those from 256 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [i for i in range(256) if i not in printable]
+    of_byte = {i: chr(i) for i in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {i: "".join(of_byte[b] for b in chr(i).encode()) for i in range(256)}
+
+
+_BYTES = _byte_letters()
+
 #: Of each Latin-1 character: d a full stop or comma, x a letter, digit or white space, s any other sign.
 _KINDS = bytes(b"d"[0] if chr(i) in ".," else b"x"[0] if chr(i).isalnum() or chr(i).isspace() else b"s"[0] for i in range(256))
 
