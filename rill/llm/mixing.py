@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets fill up like water: sources share all words by weight, none beyond `MOST` times its size. Words are taken
-in blocks of equal length. Blocks are seats: sources get them by the highest quotients target / (2 seats + 1),
-then each source's shards, by their size, so every shard knows its integer quota. Within a shard documents stand
-in a seeded order, and its quota is the first blocks of that row, passed as often as needed.
-
-Shards are parts of a source of bounded size, so no task meets a whole source. What meets in one place is one
-row for each source, and of a source one row for each shard.
+in blocks of equal length. Blocks are seats: sources get them by the highest quotients target / (2 seats + 1).
+Then a source's words are seats of its parts, by their size, so every part knows its integer quota: none is above
+its stop, and together they give what the source is to give. Within a part documents stand in a seeded order, and
+its quota is the first words of that row, passed as often as needed.
+
+Parts are shards of a source, or several together where they hold few words, so that few documents are cut. Their
+size is bounded, so no task meets a whole source. What meets in one place is one row for each source, and of a
+source one row for each shard.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from rill.llm.common import saved, words
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 7
 #: Documents in a shard of all sources on average; the longest block; blocks that an average source is to have.
 SHARD, BLOCK, FINENESS = 2_000, 64, 4096
+#: Blocks of words from which a part of a source is divided although its documents are few.
+PART_BLOCKS = 64
 
 
 def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
@@ -87,20 +91,27 @@ def plan_sources(sources: DataFrame) -> DataFrame:
     return sources.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, PLANNED)
 
 
-def plan_shards(shards: DataFrame) -> DataFrame:
-    """(source_no, shard, shard_size, quota): words each shard gives, whole blocks up to `MOST` passes.
+def plan_shards(shards: DataFrame, every: int) -> DataFrame:
+    """(source_no, shard, part, part_size, quota): the part of its source that each of `every` shards belongs to,
+    and words that the part gives, up to `MOST` passes.
 
-    Of (source_no, shard, shard_size, block, blocks). A task holds one row for each shard of a source.
+    Of (source_no, shard, shard_size, docs, block, blocks). A task holds one row for each shard of a source.
     """
+    per_part, part_blocks, most = SHARD, PART_BLOCKS, MOST
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("shard")
-        sizes = table["shard_size"].to_numpy()
-        blocks = apportion(sizes.astype(float), table["blocks"][0].as_py())
-        quota = np.minimum(blocks * table["block"][0].as_py(), MOST * sizes)
-        return table.select(["source_no", "shard", "shard_size"]).append_column("quota", pa.array(quota))
+        sizes, block = table["shard_size"].to_numpy(), table["block"][0].as_py()
+        total, docs = int(sizes.sum()), int(table["docs"].to_numpy().sum())
+        parts = min(every, max(1, -(-docs // per_part), total // (part_blocks * block)))
+        part = table["shard"].to_numpy() % parts
+        part_sizes = np.zeros(parts, np.int64)
+        np.add.at(part_sizes, part, sizes)
+        quota = apportion(part_sizes.astype(float), min(table["blocks"][0].as_py() * block, most * total))
+        columns = {"part": part, "part_size": part_sizes[part], "quota": quota[part]}
+        return pa.table({"source_no": table["source_no"], "shard": table["shard"]} | {k: pa.array(v) for k, v in columns.items()})
 
-    return shards.groupBy("source_no").applyInArrow(run, "source_no long, shard long, shard_size long, quota long")
+    return shards.groupBy("source_no").applyInArrow(run, "source_no long, shard long, part long, part_size long, quota long")
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -116,21 +127,21 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sized = sized.withColumn("rill_order", F.xxhash64(F.lit(seed), F.col("doc_id")))
     sized = sized.withColumn("rill_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(shards)))
     per_shard = sized.groupBy(F.col("source").cast("string").alias("source"), F.col("rill_shard").alias("shard"))
-    sums = saved(per_shard.agg(F.sum("rill_size").alias("shard_size")))
+    sums = saved(per_shard.agg(F.sum("rill_size").alias("shard_size"), F.count(F.lit(1)).alias("docs")))
     planned = saved(plan_sources(sums.groupBy("source").agg(F.sum("shard_size").alias("source_size"))))
     named = sums.alias("s").join(planned.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-    quotas = plan_shards(named.select("p.source_no", "s.shard", "s.shard_size", "p.block", "p.blocks"))
+    quotas = plan_shards(named.select("p.source_no", "s.shard", "s.shard_size", "s.docs", "p.block", "p.blocks"), shards)
     of_source = planned.select(F.col("source").alias("rill_source"), "source_no", "source_size", "target")
     plan = saved(quotas.join(of_source, "source_no").select(F.struct("*").alias("rill_plan")))
     same = F.col("source").cast("string").eqNullSafe(F.col("rill_plan.rill_source")) & (F.col("rill_shard") == F.col("rill_plan.shard"))
     met = sized.join(plan, same)
     ahead = F.sum("rill_size").over(
-        Window.partitionBy("rill_plan.source_no", "rill_plan.shard").orderBy("rill_order", "rill_size")
+        Window.partitionBy("rill_plan.source_no", "rill_plan.part").orderBy("rill_order", "rill_size")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("rill_size")
     p = lambda c: F.col(f"rill_plan.{c}")
-    passes = F.when(p("shard_size") > 0, F.expr("rill_plan.quota div rill_plan.shard_size")).otherwise(F.lit(0))
-    rest = p("quota") - passes * p("shard_size")
+    passes = F.when(p("part_size") > 0, F.expr("rill_plan.quota div rill_plan.part_size")).otherwise(F.lit(0))
+    rest = p("quota") - passes * p("part_size")
     part = F.greatest(F.lit(0), F.least(F.col("rill_size"), rest - F.col("rill_ahead")))
     taken = (passes * F.col("rill_size") + part).cast("long")
     out = met.withColumn("rill_ahead", ahead)

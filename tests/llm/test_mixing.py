@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from cases import DOCS, counted, docs, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -86,3 +87,17 @@ def test_words_taken_are_the_decision(spark):
 def test_no_rows_and_no_words(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert [r.rill_mix.taken for r in mixing.mix(docs(spark, [(1, None, "a"), (2, " ", None)])).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("stopped", [True, False])
+def test_small_source_with_one_short_document_in_a_shard(spark, monkeypatch, stopped):
+    monkeypatch.setattr(mixing, "FINENESS", 1)  # blocks of 64 words on a small table
+    large, per_source = (1, 2000) if stopped else (10, 100)
+    rows = [(i, prose(i, 60), f"s{i // per_source}") for i in range(large * per_source)]
+    rows += [(10_000 + i, prose(10_000 + i, 10), "z" if stopped else "a") for i in range(190)]
+    monkeypatch.setattr(mixing, "SHARD", len(rows) // 190)
+    mixed = mixing.mix(docs(spark, rows)).collect()
+    small = [r.rill_mix for r in mixed if r.doc_id >= 10_000]
+    assert small[0].target == 3 * 1900 if stopped else 1.4 * 1900 < small[0].target < 1.7 * 1900
+    check(rows, mixed)
+    assert sum(m.taken % m.size > 0 for m in small) <= 30
