@@ -88,6 +88,18 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     return links.where("a <> b").distinct()
 
 
+def components(prints: DataFrame) -> DataFrame:
+    """(fp, root, first_id, component_id) of each fingerprint of `prints` (doc_id, fp): a fingerprint that stands for
+    its component, and the smallest doc_ids that the fingerprint and the component have."""
+    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    named = connected_components(fingerprint_links(distinct.select("fp")))
+    members = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left")
+    linked = members.where("root is not null")
+    smallest = saved(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    component = F.coalesce("component_id", "first_id").alias("component_id")
+    return saved(members.join(smallest, "root", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id", component))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of `docs`.
 
@@ -96,23 +108,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     doc_id is kept, and its component is null only if no document of it has an id. Other columns are ignored.
     """
     prints = saved(fingerprints(docs))
-    distinct = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    named = connected_components(fingerprint_links(distinct.select("fp")))
-    members = distinct.join(named.withColumnRenamed("node", "fp"), "fp", "left")
-    linked = members.where("root is not null")
-    smallest = saved(linked.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    component = F.coalesce("component_id", "first_id").alias("component_id")
-    components = saved(members.join(smallest, "root", "left").select("fp", component))
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return prints.join(components, "fp").select("doc_id", text, "component_id")
+    return prints.join(components(prints).select("fp", "component_id"), "fp").select("doc_id", text, "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: of each component the document with the smallest doc_id.
 
-    Of repeated rows of that document one stays. Documents without an id form components only with each other;
-    one of them stays. All columns are kept.
+    Components go by text, and each keeps one row, whatever its ids: an id that texts of several components have
+    stays once for each that has no smaller one, and rows without id stay only where no row of theirs has one. Of
+    texts with one id in a component that with the smallest fingerprint stays, and one of repeated rows. All
+    columns are kept.
     """
-    firsts = near_duplicates(docs).where("doc_id <=> component_id").select(F.struct("doc_id").alias("rill_key")).distinct()
-    keyed = docs.withColumn("rill_key", F.struct(F.col("doc_id").cast("long").alias("doc_id")))  # a null is equal within a struct
-    return keyed.join(firsts, "rill_key", "left_semi").dropDuplicates(["rill_key"]).drop("rill_key")
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield pa.array(np.fromiter(map(fingerprint, a.to_pylist()), np.uint64, len(a)).view(np.int64))
+
+    printed = saved(docs.withColumn("rill_fp", F.arrow_udf(run, "long")(F.col("text").cast("string"))))
+    prints = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("rill_fp").alias("fp"))
+    key = lambda i, fp: F.struct(F.isnull(i).alias("none"), i.alias("doc_id"), F.col(fp).alias("fp"))  # noqa: E731  (a null is equal within a struct)
+    firsts = components(prints).groupBy("root").agg(F.min(key(F.col("first_id"), "fp")).alias("rill_key")).select("rill_key")
+    keyed = printed.withColumn("rill_key", key(F.col("doc_id").cast("long"), "rill_fp"))
+    return keyed.join(firsts, "rill_key", "left_semi").dropDuplicates(["rill_key"]).drop("rill_key", "rill_fp")

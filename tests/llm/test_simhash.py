@@ -1,7 +1,7 @@
 import random
 
 import xxhash
-from cases import DOCS, counted, docs
+from cases import DOCS, counted, docs, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -96,3 +96,11 @@ def test_one_document_of_each_group_stays(spark):
     assert len(ids) == len(set(ids))
     prints = [(i, brute_print(t)) for i, t, _ in DOCS]
     assert {c for c in brute_components(prints) if c is not None} == {i for i in ids if i is not None}
+
+
+def test_each_component_keeps_a_row_whatever_its_ids(spark):
+    nameless = [(None, prose(50 + i, 40), "a") for i in range(6)]
+    rows = [*nameless, nameless[0], (5, prose(50, 40), "b"), (7, prose(70, 40), "a"), (7, prose(71, 40), "a"), (8, prose(71, 40), "a"), (0, " ", "a"), (None, None, "a")]
+    kept = [(r.doc_id, r.text) for r in simhash.keep_one(docs(spark, rows)).collect()]
+    want = [(None, t) for _, t, _ in nameless[1:]] + [(5, prose(50, 40)), (7, prose(70, 40)), (7, prose(71, 40)), (0, " ")]
+    assert counted(kept) == counted(want)
