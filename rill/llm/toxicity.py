@@ -2,8 +2,9 @@
 
 A character language model (four letters, counted over all documents) says how likely a restored text is; a
 channel says what writing it as observed costs: look-alike signs for letters, signs and blanks put between
-letters, letters repeated. Viterbi search over the lattice of readings restores each word, and each run of
-single characters that blanks pull apart. Restored words are scored with a lexicon learned from labels, of words
+letters, letters repeated. A beam search over the lattice of readings (Viterbi's, but with only the `BEAM` likeliest
+contexts kept after each character) restores each word, and each run of single characters that blanks pull apart,
+from end to end: what all readings in the beam share is settled and put out on the way. Restored words are scored with a lexicon learned from labels, of words
 and of word beginnings, which inflected forms share; a word counts by the most specific entry it has.
 
 The lexicon is fitted on at most `SAMPLE` labelled documents outside the held-out fold, those with the smallest
@@ -16,6 +17,7 @@ The model is bounded: 28^4 counts and `LEXICON` words. Scores use the text alone
 from __future__ import annotations
 
 import math
+import os.path
 import re
 from array import array
 from collections import Counter
@@ -50,7 +52,7 @@ LOOKALIKES = {
 }
 #: Costs in nats.
 SUBSTITUTED, DROPPED, SIGN_DROPPED, PARTED, REPEATED, REPEATED_AGAIN = 1.5, 1.0, 2.5, 1.0, 3.0, 0.3
-BEAM, LONGEST, REMEMBERED = 12, 64, 300_000
+BEAM, SETTLED, REMEMBERED = 12, 64, 300_000
 EDGES = ".,;:?\"'*&%#)]}[{~_-…»«“”‘’"
 
 
@@ -103,7 +105,8 @@ class Restorer:
     def restore(self, observed: str) -> str:
         """The likeliest reading of `observed` (lower case): words with single blanks between."""
         model, beam, last, run = self.model, {0: (0.0, "")}, "", 0
-        for ch in observed:
+        settled: list[str] = []
+        for place, ch in enumerate(observed, 1):
             run, last = (run + 1 if ch == last else 1), ch
             plain = letter_class(ch)
             letters = [(ch, plain, 0.0)] if plain else [(x, ord(x) - 96, SUBSTITUTED) for x in LOOKALIKES.get(ch, "")]
@@ -125,7 +128,13 @@ class Restorer:
                     if text and text[-1] != " ":
                         offer(at % CONTEXTS, score - PARTED + model[at], text + " ")
             beam = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
-        return max((score + model[c * CLASSES], text) for c, (score, text) in beam.items())[1].strip()
+            if place % SETTLED == 0:
+                shared = len(os.path.commonprefix([text for _, text in beam.values()])) - 1  # the last letter may be repeated
+                if shared > 0:
+                    settled.append(next(iter(beam.values()))[1][:shared])
+                    beam = {c: (score, text[shared:]) for c, (score, text) in beam.items()}
+        settled.append(max((score + model[c * CLASSES], text) for c, (score, text) in beam.items())[1])
+        return "".join(settled).strip()
 
     def words(self, token: str) -> tuple[str, ...]:
         """Restored words of one blank-free token of a lower-cased text."""
@@ -143,16 +152,13 @@ class Restorer:
             return ()
         if bare.isalpha() and not _DOUBLED.search(bare):
             return (bare,)
-        parts = [bare[i : i + LONGEST] for i in range(0, len(bare), LONGEST)]
-        return tuple(w for p in parts for w in self.restore(p).split())
+        return tuple(self.restore(bare).split())
 
     def spaced(self, text: str) -> list[str]:
         """Restored words of the runs of single characters with blanks between."""
         out = []
         for m in _SPACED.finditer(text):
-            run = " ".join(m[0].split())
-            for i in range(0, len(run), 4 * LONGEST):
-                out += self.restore(run[i : i + 4 * LONGEST]).split()
+            out += self.restore(" ".join(m[0].split())).split()
         return out
 
 

@@ -65,6 +65,16 @@ def test_spaced_letters_are_joined_and_parted(fitted):
     assert restorer.spaced("a b") == []
 
 
+def test_words_of_long_tokens_and_runs_are_never_cut(fitted):
+    restorer = toxicity.Restorer(fitted[2].letters)
+    for before in range(56, 70):
+        short = -before % 5  # words of four and five characters, with their signs
+        token = "was-" * short + "with-" * ((before - 4 * short) // 5) + "idiot-" + "that-" * 20
+        assert token.index("idiot") == before and "idiot" in restorer.words(token), before
+    found = [restorer.spaced(" ".join("with" * 28 + "that"[: k % 4] + "with" * (k // 4) + "idiot" + "that" * 9)) for k in range(8, 24)]
+    assert all(any("idiot" in w for w in words) for words in found)
+
+
 def test_held_out_documents(spark, fitted):
     rows, labels, model = fitted
     scored = {r.doc_id: r for r in toxicity.score(docs(spark, rows), model).collect()}
