@@ -115,8 +115,9 @@ def _byte_letters() -> dict[int, str]:
 
 _BYTES = _byte_letters()
 
-#: Of each Latin-1 character: d a full stop or comma, x a letter, digit or white space, s any other sign.
-_KINDS = bytes(b"d"[0] if chr(i) in ".," else b"x"[0] if chr(i).isalnum() or chr(i).isspace() else b"s"[0] for i in range(256))
+#: Of each Latin-1 character: d a full stop or comma, x a letter, digit or white space, s any other sign, which the
+#: separators 28 to 31 are to the vocabulary's splitter.
+_KINDS = bytes(b"d"[0] if chr(i) in ".," else b"x"[0] if chr(i).isalnum() or chr(i).isspace() and not 28 <= i <= 31 else b"s"[0] for i in range(256))
 
 
 def _chunks(text: str) -> list[str]:

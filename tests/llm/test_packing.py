@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from cases import DOCS, docs
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -46,6 +46,7 @@ def test_pieces_of_odd_documents(spark, tokenizer):
     checked(rows, 4096)
 
 
+@example("\x1f.")
 @settings(max_examples=200, deadline=None)
 @given(st.text(st.one_of(st.sampled_from(" .,'!\nstESé ΣİḰ<|>_0²ª"), st.characters(codec="utf-8"))))
 def test_ids_are_the_librarys(text):
