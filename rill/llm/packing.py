@@ -1,10 +1,14 @@
 """Best-fit packing of token sequences, with certified bin counts and exchange between partitions.
 
-Texts become token ids with an end id; only documents longer than a sequence are cut. Pieces are dealt into
-shards of bounded size, each packed best-fit decreasing. Dual feasible functions map lengths so that the sum of
+Texts become token ids with an end id; only documents longer than a sequence are cut. Pieces are dealt, sorted by
+length, one by one into shards of bounded size, so that all shards have alike lengths, and each is packed best-fit
+decreasing. Dual feasible functions map lengths so that the sum of
 mapped lengths, over the capacity, bounds the number of any packing's sequences from below: a shard whose count
-equals the bound is certified. Every shard gives its gap's worth of emptiest sequences, and the emptiest of a
-certified one, to an exchange pool, which is dealt into fewer shards and packed again, until one shard is left.
+equals the bound is certified, and final. A shard with a gap gives its emptiest sequences to an exchange, as many
+as have the room that the gap asks for; these are dealt, whole, into new shards of bounded size and packed again,
+which counts only where it saves sequences. Rounds end when no gap is left, when a round frees fewer than
+`MIN_FREED` of the exchanged sequences, or when all of them were in one shard. So there are at most as many
+sequences as the bounds' sum and the gaps that are left; certified shards waste less than a sequence each.
 
 Each round is written to the shared folder. Packing moves (id, length) rows alone, never texts or ids.
 """
@@ -27,11 +31,11 @@ CAPACITY, END_ID = 4096, 1
 SHARD = 20_000
 #: Chunks whose ids a worker remembers, in each of two generations.
 REMEMBERED = 150_000
-#: A shard also gives up sequences that are emptier than this share of the capacity.
-LOOSE = 0.005
+#: A round that frees less than this share of the sequences it was given is the last.
+MIN_FREED = 0.002
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", sequence_id long, offset long"
+PACKED = PIECES + ", sequence_id long, offset long, shard_sequences long, shard_bound long"
 
 
 class Remembered(dict):
@@ -197,48 +201,72 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _pack_shard(table: pa.Table, round_no: int, last: bool, capacity: int) -> pa.Table:
-    """The shard's rows with sequence and offset; rows given to the exchange have neither."""
-    table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32", "length")])
-    lengths = table["length"].to_numpy()
+def given_up(fills: np.ndarray, gap: int, capacity: int = CAPACITY) -> np.ndarray:
+    """Which sequences a shard exchanges: its emptiest, until their room would do without `gap` sequences."""
+    out = np.zeros(len(fills), bool)
+    if gap > 0:
+        order = np.argsort(fills, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(capacity - fills[order]), gap * capacity)) + 1
+        out[order[: max(enough, gap + 1)]] = True
+        out[fills == capacity] = False
+    return out
+
+
+def _pack_shard(table: pa.Table, round_no: int, capacity: int) -> pa.Table:
+    """The shard's rows with sequence, offset and certificate; `open` are those given to the exchange.
+
+    From the second round on rows have sequences already, which stay if the new packing saves none.
+    """
+    table = table.sort_by([(c, "ascending") for c in ("length", "doc_id", "piece", "ids_crc32")])
+    lengths, shard = table["length"].to_numpy(), table["shard"][0].as_py()
     bins, offsets, fills = best_fit_decreasing(lengths, capacity)
-    kept = np.ones(len(fills), bool)
-    if not last:
-        gap = len(fills) - lower_bound(lengths, capacity)
-        kept[np.argsort(fills, kind="stable")[: gap + 1]] = False
-        kept[fills < capacity * (1 - LOOSE)] = False
-        kept[fills == capacity] = True
-    shard = table["shard"][0].as_py()
-    stays = kept[bins]
-    sequence = pa.array((round_no << 56) + (shard << 24) + bins, mask=~stays)
-    return table.drop_columns(["shard"]).append_column("sequence_id", sequence).append_column("offset", pa.array(offsets, mask=~stays))
-
-
-def _shard_packer(round_no: int, last: bool, capacity: int):
+    sequence = (round_no << 56) + (shard << 24) + bins
+    if round_no:
+        before, old = np.unique(table["sequence_id"].to_numpy(), return_inverse=True)
+        if len(before) <= len(fills):
+            bins, offsets, sequence = old, table["offset"].to_numpy(), before[old]
+            fills = np.bincount(bins, weights=lengths).astype(np.int64)
+    bound = lower_bound(lengths, capacity)
+    columns = {c: table[c] for c in (f.split()[0] for f in PIECES.split(", "))}
+    columns |= {"sequence_id": pa.array(sequence), "offset": pa.array(offsets)}
+    columns |= {k: pa.array(np.full(len(bins), v, np.int64)) for k, v in (("shard_sequences", len(fills)), ("shard_bound", bound))}
+    return pa.table(columns | {"open": pa.array(given_up(fills, len(fills) - bound, capacity)[bins])})
+
+
+def _shard_packer(round_no: int, capacity: int):
     def run(table: pa.Table) -> pa.Table:
-        return _pack_shard(table, round_no, last, capacity)
+        return _pack_shard(table, round_no, capacity)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """`pieces` with sequence_id and offset. Repeated rows are packed each; no rows give no rows.
+    """`pieces` with sequence_id and offset, and their last shard's certificate: its sequences and lower bound.
 
-    Lengths must be between 1 and the capacity. Rounds end: a pool at least halves its shards each time.
+    `pieces` are to be a saved table: rows of one length are dealt by their place in it, so equal rows spread like
+    others. Each is packed; no rows give no rows. Lengths must be between 1 and the capacity. A shard has `shard` rows on
+    average in every round, whatever is exchanged.
     """
-    pool, settled, round_no = pieces, None, 0
-    shards = max(1, -(-pool.count() // shard))
+    of = lambda key, rows: F.pmod(key, F.lit(max(1, -(-rows // shard))))
+    rows, round_no = pieces.count(), 0
+    placed = pieces.withColumn("place", F.monotonically_increasing_id())
+    by_length = placed.repartitionByRange("length", "place").sortWithinPartitions("length", "place").drop("place")
+    # numbers of a task's rows in a row, from a place of its own on
+    pool = by_length.withColumn("shard", of(F.monotonically_increasing_id() + F.xxhash64(F.spark_partition_id()) % 1_000_003, rows))
+    settled, taken_in = None, 0
     while True:
-        last = shards == 1
-
-        dealt = pool.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_no)), F.lit(shards)))
-        packed = saved(dealt.groupBy("shard").applyInArrow(_shard_packer(round_no, last, capacity), PACKED))
-        done = packed.where("sequence_id is not null")
+        packed = saved(pool.groupBy("shard").applyInArrow(_shard_packer(round_no, capacity), PACKED + ", open boolean"))
+        sequences, open_rows, open_ = packed.agg(
+            F.count_if(F.col("offset") == 0), F.count_if("open"), F.count_if(F.col("open") & (F.col("offset") == 0))
+        ).first()
+        freed = taken_in - sequences
+        last = not open_rows or rows <= shard or round_no and freed < max(1, MIN_FREED * taken_in)
+        done = (packed if last else packed.where("not open")).drop("open")
         settled = done if settled is None else settled.unionByName(done)
         if last:
             return settled
-        pool = packed.where("sequence_id is null").drop("sequence_id", "offset")
-        shards, round_no = min(shards // 2, max(1, -(-pool.count() // shard))), round_no + 1
+        rows, taken_in, round_no = open_rows, open_, round_no + 1
+        pool = packed.where("open").withColumn("shard", of(F.xxhash64("sequence_id", F.lit(round_no)), rows))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -92,14 +92,57 @@ def _best(left, fills, most):
     return min(most, _best(left[1:], [*fills, left[0]], most))
 
 
-def test_shards_exchange_until_one_is_left(spark):
-    r = np.random.default_rng(2)
-    lengths = np.concatenate([r.integers(1, 900, 3000), r.integers(1500, 4097, 800)])
-    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(lengths)] + [(1, 0, 0, 7, 1), (1, 0, 0, 7, 1), (None, 0, 0, 7, 1)]
-    pieces = spark.createDataFrame(rows, packing.PIECES)
-    packed = packing.pack(pieces, shard=300).collect()
-    assert len(packed) == len(rows)
-    assert checked(packed, 4096) <= packing.lower_bound(np.array([x[3] for x in rows])) * 1.01
+def packed_shards(spark, tmp_path, lengths, shard=500):
+    """Packed rows, the rows of each group that any round packed, and the sum of the bounds."""
+    schema = packing.PIECES
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(lengths)] if not isinstance(lengths[0], tuple) else lengths
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(f"{tmp_path}/pieces")
+    packed = packing.pack(spark.read.schema(schema).parquet(f"{tmp_path}/pieces"), shard=shard).collect()
+    assert sorted(r.length for r in packed) == sorted(x[3] for x in rows)
+    groups = {}
+    for r in packed:
+        groups.setdefault(r.sequence_id >> 24, []).append(r)
+    return packed, groups
+
+
+@pytest.mark.parametrize(("low", "high"), [(2100, 4000), (1400, 2000), (1, 900), (700, 4096)])
+def test_certified_shards_are_final_and_groups_bounded(spark, tmp_path, low, high):
+    lengths = np.random.default_rng(low).integers(low, high, 5000)
+    packed, groups = packed_shards(spark, tmp_path, lengths)
+    assert max(map(len, groups.values())) <= 700
+    n, bound = checked(packed, 4096), packing.lower_bound(lengths)
+    assert bound <= n <= bound + len(groups) + 10
+    if low in (2100, 1400):
+        assert all(r.shard_sequences == r.shard_bound and r.sequence_id >> 56 == 0 for r in packed)
+
+
+def test_gaps_are_exchanged_and_freed(spark, tmp_path):
+    # threes of 1360 to 1370 fit by luck of the draw: shards have gaps that others' pieces fill
+    r = np.random.default_rng(5)
+    lengths = np.concatenate([r.integers(1300, 1430, 3000), r.integers(1, 120, 300)])
+    packed, groups = packed_shards(spark, tmp_path, lengths, shard=300)
+    alone = sum(len(packing.best_fit_decreasing(x)[2]) for x in np.array_split(r.permutation(lengths), 11))
+    assert max(map(len, groups.values())) <= 450
+    assert packing.lower_bound(lengths) <= checked(packed, 4096) <= alone
+    assert any(k >> 32 for k in groups), "some were packed again"
+
+
+def test_equal_rows_spread(spark, tmp_path):
+    rows = [(None, 0, 0, 7, 1)] * 100_000
+    packed, groups = packed_shards(spark, tmp_path, rows, shard=5000)
+    assert max(map(len, groups.values())) <= 6000
+    assert checked(packed, 4096) <= -(-700_000 // 4096) + 20
+
+
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=40), st.integers(0, 5))
+def test_what_a_gap_gives_up(fills, gap):
+    x = np.array(fills)
+    out = packing.given_up(x, gap, 20)
+    assert gap or not out.any()
+    assert not (out & (x == 20)).any()
+    left = x[~out & (x < 20)]
+    assert not out.any() or not len(left) or left.min() >= x[out].max()
+    assert not len(left) or not gap or (20 - x[out]).sum() >= gap * 20
 
 
 def test_no_rows(spark):
