@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rill.session import shared_folder
@@ -26,6 +26,22 @@ def saved(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """`df`, saved, with a long `name`: each row's place, from 0, in the order of all rows.
+
+    Rows are sorted in ranges, of which only the lengths, one for each task, meet in one place. `order` should tell
+    rows apart: equal ones share a range.
+    """
+    at, part = f"{name}_at", f"{name}_part"
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = saved(ranged.withColumn(at, place).withColumn(part, F.spark_partition_id()))
+    lengths = placed.groupBy(part).agg(F.count(F.lit(1)).alias(name))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = lengths.select(part, F.coalesce(F.sum(name).over(before), F.lit(0)).alias(name))
+    return placed.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(at)).drop(at, part)
+
+
 def dropped(df: DataFrame) -> None:
     """Remove the files of a frame that `saved` made, once nothing reads it any more."""
     spark = df.sparkSession

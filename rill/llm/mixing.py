@@ -6,112 +6,106 @@ Then a source's words are seats of its parts, by their size, so every part knows
 its stop, and together they give what the source is to give. Within a part documents stand in a seeded order, and
 its quota is the first words of that row, passed as often as needed.
 
-Parts are shards of a source, or several together where they hold few words, so that few documents are cut. Their
-size is bounded, so no task meets a whole source. What meets in one place is one row for each source, and of a
-source one row for each shard.
+A part has about `SHARD` documents of a source, or a few more words than `PART_BLOCKS` blocks, so few documents are
+cut. Documents are dealt into parts by a hash of id, source and text, documents of which more than a fourth of
+`SHARD` rows are equal by their place in the input too, so no task meets a whole source or all copies of a row.
+
+Apportionment is distributed: votes are rounded at the mean price, and only the seats that rounding gave too few or
+too many are settled by sorting the quotients near that price over all tasks. Targets are found by a few sums over
+the sources. Sources and parts never meet in one task.
 """
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rill.llm.common import saved, words
+from rill.llm.common import numbered, saved, words
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 7
-#: Documents in a shard of all sources on average; the longest block; blocks that an average source is to have.
+#: Documents in a part of a source on average; the longest block; blocks that an average source is to have.
 SHARD, BLOCK, FINENESS = 2_000, 64, 4096
-#: Blocks of words from which a part of a source is divided although its documents are few.
+#: Blocks of words from which a source is divided although its documents are few.
 PART_BLOCKS = 64
 
 
-def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
-    """Sainte-Laguë seats. Rounding at the mean price is right for the seats it gives; quotients mend the rest."""
-    total = float(votes.sum())
-    if not total or not seats:
-        return np.zeros(len(votes), np.int64)
-    given = np.floor(votes * (seats / total) + 0.5).astype(np.int64)
-    lack = seats - int(given.sum())
-    if lack > 0:
-        heap = [(-votes[i] / (2 * given[i] + 1), i) for i in range(len(votes)) if votes[i] > 0]
-        heapq.heapify(heap)
-        for _ in range(lack):
-            i = heap[0][1]
-            given[i] += 1
-            heapq.heapreplace(heap, (-votes[i] / (2 * given[i] + 1), i))
-    elif lack < 0:
-        heap = [(votes[i] / (2 * given[i] - 1), -i) for i in range(len(votes)) if given[i] > 0]
-        heapq.heapify(heap)
-        for _ in range(-lack):
-            i = -heapq.heappop(heap)[1]
-            given[i] -= 1
-            if given[i] > 0:
-                heapq.heappush(heap, (votes[i] / (2 * given[i] - 1), -i))
-    return given
-
-
-def fill_targets(sizes: np.ndarray, weights: np.ndarray, most: int = MOST) -> np.ndarray:
-    """Shares of all words by weight; what a source cannot take goes to the others until none is above its stop."""
-    stops, target = most * sizes.astype(float), np.zeros(len(sizes))
-    left, open_ = float(sizes.sum()), sizes > 0
-    while open_.any() and left > 0:
-        share = left * weights / weights[open_].sum()
-        full = open_ & (share >= stops)
-        if not full.any():
-            target[open_] = share[open_]
-            break
-        target[full] = stops[full]
-        left -= float(stops[full].sum())
-        open_ &= ~full
-    return target
-
-
-PLANNED = "source string, source_no long, source_size long, target double, block long, blocks long"
+def apportioned(rows: DataFrame, group: str, *order: str) -> DataFrame:
+    """`rows` with `given`: Sainte-Laguë seats of each row among those of its `group`.
 
+    `rows` have `votes` (not negative) and `seats`, the same for a whole group; `order` tells the rows of a group
+    apart and settles ties. Seats of groups without votes are not given.
+    """
+    of = rows.groupBy(group).agg(F.sum(F.col("votes").cast("double")).alias("all_votes"), F.count_if(F.col("votes") > 0).alias("voters"))
+    met = rows.join(of, group)
+    price = F.when((F.col("all_votes") > 0) & (F.col("seats") > 0), F.col("votes") / (F.col("all_votes") / F.col("seats")))
+    rounded = saved(met.withColumn("rounded", F.coalesce(F.floor(price + 0.5), F.lit(0))))
+    lacks = rounded.groupBy(group).agg((F.max("seats") - F.sum("rounded")).alias("lack")).where("lack <> 0")
+    mended = saved(rounded.where("all_votes > 0").join(lacks, group))
+    if mended.isEmpty():
+        return rounded.withColumnRenamed("rounded", "given").drop("all_votes", "voters")
+    # at a price that gives half a seat a voter more, or less, there are enough, or few enough
+    other = F.col("votes") * (F.col("seats") + F.signum("lack") * (F.col("voters") + 1) / 2) / F.col("all_votes")
+    reach = F.greatest(F.floor(other + 0.5), F.lit(0)) - F.col("rounded")
+    steps = F.when(F.col("lack") > 0, F.greatest(reach, F.lit(0))).otherwise(F.greatest(-reach, F.lit(0)))
+    step = F.explode(F.when(steps > 0, F.sequence(F.lit(1), steps)))
+    near = mended.select(group, *order, "lack", "votes", "rounded", step.alias("step"))
+    quotient = F.when(F.col("lack") > 0, -F.col("votes") / (2 * (F.col("rounded") + F.col("step")) - 1)).otherwise(
+        F.col("votes") / (2 * (F.col("rounded") - F.col("step")) + 1)
+    )
+    queue = numbered(near.withColumn("quotient", quotient), "place", F.col(group), F.col("quotient"), *map(F.col, order))
+    first = queue.groupBy(group).agg(F.min("place").alias("first"))
+    chosen = queue.join(first, group).where(F.col("place") - F.col("first") < F.abs("lack"))
+    changes = saved(chosen.groupBy(group, *order).agg(F.sum(F.signum("lack")).cast("long").alias("change")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (group, *order)]
+    given = (F.col("r.rounded") + F.coalesce("c.change", F.lit(0))).alias("given")
+    return rounded.alias("r").join(changes.alias("c"), same, "left").select("r.*", given).drop("rounded", "all_votes", "voters")
+
+
+def with_targets(sources: DataFrame, most: int = MOST) -> DataFrame:
+    """`sources` (source_size, weight) with `target`: shares of all words by weight; what a source cannot take goes
+    to the others until none is above its stop. `sources` are to be a saved table; each round is one sum over it."""
+    total = sources.agg(F.sum("source_size")).first()[0] or 0
+    stop, level, full = F.col("source_size") * most, 0.0, -1
+    while True:
+        below = stop <= F.col("weight") * F.lit(level)
+        now, stopped, open_ = sources.where("source_size > 0").agg(
+            F.count_if(below), F.sum(F.when(below, stop)), F.sum(F.when(~below, F.col("weight")))
+        ).first()
+        if now == full or not open_:
+            break
+        full, level = now, (total - (stopped or 0)) / open_
+    share = F.least(stop.cast("double"), F.col("weight") * F.lit(level))
+    return sources.withColumn("target", F.when((F.col("source_size") > 0) & F.lit(total > 0), share).otherwise(F.lit(0.0)))
 
-def plan_sources(sources: DataFrame) -> DataFrame:
-    """Targets and block quotas of sources (source, source_size); one row for each source meets in one task."""
 
-    def run(table: pa.Table) -> pa.Table:
-        names = table["source"].to_pylist()
-        order = sorted(range(len(names)), key=lambda i: (names[i] is None, (names[i] or "").encode()))
-        sizes = table["source_size"].to_numpy()[order]
-        weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(order))], float)
-        target = fill_targets(sizes, weights)
-        total = int(sizes.sum())
-        block = max(1, min(BLOCK, total // (len(order) * FINENESS)))
-        blocks = apportion(target, round(total / block))
-        columns = [[names[i] for i in order], list(range(len(order))), sizes, target, [block] * len(order), blocks]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()], strict=True)], [f.split()[0] for f in PLANNED.split(", ")])
+def plan_sources(sizes: DataFrame) -> DataFrame:
+    """Of (source, source_size, docs): source_no, target, block, the words a source gives, and its number of parts."""
+    order = F.col("source").isNull(), F.col("source")
+    named = saved(numbered(sizes, "source_no", *order).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))))
+    n, total = named.agg(F.count(F.lit(1)), F.sum("source_size")).first()
+    block = max(1, min(BLOCK, (total or 0) // (max(1, n) * FINENESS)))
+    seats = with_targets(named).withColumn("votes", F.col("target")).withColumn("seats", F.lit(round((total or 0) / block))).withColumn("all", F.lit(0))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / SHARD), F.floor(F.col("source_size") / (PART_BLOCKS * block)))
+    gives = F.least(F.col("given") * block, F.col("source_size") * MOST).alias("gives")
+    return apportioned(seats, "all", "source_no").select("source", "source_no", "source_size", "target", gives, F.least(parts, F.col("docs")).alias("parts"))
 
-    return sources.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(run, PLANNED)
 
+def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    """`docs` with rill_size and rill_order, by which rows are dealt and ordered; rows without words, which give and
+    change nothing, are dealt by their place."""
+    text = F.col("text").cast("string")
+    size = F.size(words(text)).cast("long")
+    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source").cast("string"), F.xxhash64(text))
+    sized = docs.withColumn("rill_size", size)
+    return sized.withColumn("rill_order", F.when(F.col("rill_size") > 0, key).otherwise(F.xxhash64(F.lit(seed), F.monotonically_increasing_id())))
 
-def plan_shards(shards: DataFrame, every: int) -> DataFrame:
-    """(source_no, shard, part, part_size, quota): the part of its source that each of `every` shards belongs to,
-    and words that the part gives, up to `MOST` passes.
 
-    Of (source_no, shard, shard_size, docs, block, blocks). A task holds one row for each shard of a source.
-    """
-    per_part, part_blocks, most = SHARD, PART_BLOCKS, MOST
+def _narrow(sized: DataFrame) -> DataFrame:
+    return saved(sized.select(F.col("source").cast("string").alias("source"), "rill_size", "rill_order"))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard")
-        sizes, block = table["shard_size"].to_numpy(), table["block"][0].as_py()
-        total, docs = int(sizes.sum()), int(table["docs"].to_numpy().sum())
-        parts = min(every, max(1, -(-docs // per_part), total // (part_blocks * block)))
-        part = table["shard"].to_numpy() % parts
-        part_sizes = np.zeros(parts, np.int64)
-        np.add.at(part_sizes, part, sizes)
-        quota = apportion(part_sizes.astype(float), min(table["blocks"][0].as_py() * block, most * total))
-        columns = {"part": part, "part_size": part_sizes[part], "quota": quota[part]}
-        return pa.table({"source_no": table["source_no"], "shard": table["shard"]} | {k: pa.array(v) for k, v in columns.items()})
 
-    return shards.groupBy("source_no").applyInArrow(run, "source_no long, shard long, part long, part_size long, quota long")
+def _part(parts: str) -> Column:
+    return F.pmod(F.xxhash64("rill_order"), F.col(parts))
 
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -119,34 +113,40 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     Needs doc_id, text and source; other columns are carried along. Null and blank texts have size 0 and give
     nothing. A null source is a source of its own, the last. Repeated rows are documents of their own. Equal
-    input gives equal output: places depend on hashes of doc_id, and ties are broken by size, which makes tied
-    rows alike. No rows give no rows.
+    tables give equal output: places depend on hashes of id, source and text, and tied rows are alike. No rows give
+    no rows.
     """
-    shards = max(1, -(-docs.count() // SHARD))
-    sized = docs.withColumn("rill_size", F.size(words(F.col("text").cast("string"))).cast("long"))
-    sized = sized.withColumn("rill_order", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    sized = sized.withColumn("rill_shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(shards)))
-    per_shard = sized.groupBy(F.col("source").cast("string").alias("source"), F.col("rill_shard").alias("shard"))
-    sums = saved(per_shard.agg(F.sum("rill_size").alias("shard_size"), F.count(F.lit(1)).alias("docs")))
-    planned = saved(plan_sources(sums.groupBy("source").agg(F.sum("shard_size").alias("source_size"))))
-    named = sums.alias("s").join(planned.alias("p"), F.col("s.source").eqNullSafe(F.col("p.source")))
-    quotas = plan_shards(named.select("p.source_no", "s.shard", "s.shard_size", "s.docs", "p.block", "p.blocks"), shards)
-    of_source = planned.select(F.col("source").alias("rill_source"), "source_no", "source_size", "target")
-    plan = saved(quotas.join(of_source, "source_no").select(F.struct("*").alias("rill_plan")))
-    same = F.col("source").cast("string").eqNullSafe(F.col("rill_plan.rill_source")) & (F.col("rill_shard") == F.col("rill_plan.shard"))
-    met = sized.join(plan, same)
+    sized = _sized(docs, seed)
+    narrow = _narrow(sized)
+    most = max(1, SHARD // 4)
+    crowds = saved(narrow.where("rill_size > 0").groupBy("rill_order").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most))
+    if not crowds.isEmpty():  # many equal rows: their place in the input parts them, the same for all that follows
+        salted = sized.withColumn("rill_place", F.monotonically_increasing_id()).join(crowds, "rill_order", "left")
+        salt = F.pmod(F.xxhash64("rill_place"), F.ceil(F.col("n") / most))
+        order = F.when(F.col("n").isNull(), F.col("rill_order")).otherwise(F.xxhash64("rill_order", salt))
+        sized = saved(salted.withColumn("rill_order", order).drop("n", "rill_place"))
+        narrow = _narrow(sized)
+    planned = saved(plan_sources(narrow.groupBy("source").agg(F.sum("rill_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))))
+    same = lambda a, b: F.col(a).cast("string").eqNullSafe(F.col(b))
+    dealt = narrow.alias("n").join(planned.alias("p"), same("n.source", "p.source")).withColumn("part", _part("p.parts"))
+    sums = dealt.groupBy("p.source_no", "part").agg(F.sum("rill_size").alias("votes"), F.max("p.gives").alias("seats"))
+    quotas = apportioned(sums, "source_no", "part").select(
+        F.col("source_no").alias("rill_no"), F.col("part").alias("rill_part"), F.struct(F.col("votes").alias("size"), F.col("given").alias("quota")).alias("rill_quota")
+    )
+    source = planned.select(F.struct("*").alias("rill_plan"))
+    placed = sized.join(source, same("source", "rill_plan.source"))
+    placed = placed.withColumn("rill_no", F.col("rill_plan.source_no")).withColumn("rill_part", _part("rill_plan.parts"))
+    met = placed.join(saved(quotas), ["rill_no", "rill_part"])
     ahead = F.sum("rill_size").over(
-        Window.partitionBy("rill_plan.source_no", "rill_plan.part").orderBy("rill_order", "rill_size")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        Window.partitionBy("rill_no", "rill_part").orderBy("rill_order", "rill_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("rill_size")
-    p = lambda c: F.col(f"rill_plan.{c}")
-    passes = F.when(p("part_size") > 0, F.expr("rill_plan.quota div rill_plan.part_size")).otherwise(F.lit(0))
-    rest = p("quota") - passes * p("part_size")
-    part = F.greatest(F.lit(0), F.least(F.col("rill_size"), rest - F.col("rill_ahead")))
+    size, quota = F.col("rill_quota.size"), F.col("rill_quota.quota")
+    passes = F.when(size > 0, F.expr("rill_quota.quota div rill_quota.size")).otherwise(F.lit(0))
+    part = F.greatest(F.lit(0), F.least(F.col("rill_size"), quota - passes * size - F.col("rill_ahead")))
     taken = (passes * F.col("rill_size") + part).cast("long")
-    out = met.withColumn("rill_ahead", ahead)
-    mixed = F.struct(F.col("rill_size").alias("size"), p("source_size").alias("source_size"), p("target").alias("target"), taken.alias("taken"))
-    return out.select(*(F.col(c) for c in docs.columns), mixed.alias("rill_mix"))
+    p = lambda c: F.col(f"rill_plan.{c}").alias(c)
+    mixed = F.struct(F.col("rill_size").alias("size"), p("source_size"), p("target"), taken.alias("taken"))
+    return met.withColumn("rill_ahead", ahead).select(*(F.col(c) for c in docs.columns), mixed.alias("rill_mix"))
 
 
 def take_words(docs: DataFrame, seed: int = SEED) -> DataFrame:

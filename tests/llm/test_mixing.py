@@ -6,15 +6,12 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from cases import DOCS, counted, docs, prose
-from hypothesis import given, settings
-from hypothesis import strategies as st
 
 from rill.llm import mixing
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 10**6), min_size=1, max_size=12), st.integers(0, 400))
-def test_apportionment_is_by_highest_quotients(votes, seats):
+def apportion(votes, seats):
+    """Seat by seat to the highest quotient."""
     given_ = [0] * len(votes)
     heap = [(-v, i) for i, v in enumerate(votes) if v]
     heapq.heapify(heap)
@@ -22,22 +19,42 @@ def test_apportionment_is_by_highest_quotients(votes, seats):
         _, i = heap[0]
         given_[i] += 1
         heapq.heapreplace(heap, (-votes[i] / (2 * given_[i] + 1), i))
-    got = mixing.apportion(np.array(votes, float), seats)
-    assert got.sum() == sum(given_)
-    price = [v / (2 * g + 1) for v, g in zip(votes, got, strict=True)]
-    last = [v / (2 * g - 1) for v, g in zip(votes, got, strict=True) if g]
-    assert not last or max(price) <= min(last) * (1 + 1e-12)
-
-
-@given(st.lists(st.integers(0, 10**5), min_size=1, max_size=12))
-def test_targets_fill_up(sizes):
-    x, w = np.array(sizes), np.array([1 + i % 3 for i in range(len(sizes))], float)
-    t = mixing.fill_targets(x, w)
-    assert abs(t.sum() - x.sum()) <= 1e-6 * max(1, x.sum()) and (t <= 3 * x + 1e-9).all()
-    open_ = t < 3 * x - 1e-9
-    if open_.any():
-        share = (t / w)[open_]
-        assert np.allclose(share, share.max()) and (t[~open_] <= share.max() * w[~open_] + 1e-6).all()
+    return given_
+
+
+def fill_targets(sizes, weights, most=3):
+    """By bisection of the level."""
+    lo, hi = 0.0, 10.0 * max(1, sum(sizes)) * 3
+    fill = lambda x: [min(most * s, x * w) for s, w in zip(sizes, weights, strict=True)]
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(fill(mid)) < sum(sizes) else (lo, mid)
+    return fill(hi)
+
+
+def test_apportionment_is_by_highest_quotients(spark):
+    r = random.Random(3)
+    groups = [([r.randrange(10**6) for _ in range(r.randrange(1, 12))], r.randrange(400)) for _ in range(60)]
+    groups += [([0, 0], 5), ([7] * 9, 4), ([10**6] + [1] * 200, 900), ([10**6] + [2200] * 200, 900), ([3], 10), ([1, 2], 0), ([10, 20], 90), ([5] * 8, 17)]
+    rows = [(g, i, float(v), n) for g, (votes, n) in enumerate(groups) for i, v in enumerate(votes)]
+    got = defaultdict(dict)
+    for x in mixing.apportioned(spark.createDataFrame(rows, "g int, i int, votes double, seats long"), "g", "i").collect():
+        got[x.g][x.i] = x.given
+    for g, (votes, n) in enumerate(groups):
+        given_ = [got[g][i] for i in range(len(votes))]
+        assert sum(given_) == sum(apportion(votes, n)), (votes, n)
+        price = [v / (2 * k + 1) for v, k in zip(votes, given_, strict=True)]
+        last = [v / (2 * k - 1) for v, k in zip(votes, given_, strict=True) if k]
+        assert not last or max(price) <= min(last) * (1 + 1e-12)
+
+
+def test_targets_fill_up(spark):
+    r = random.Random(4)
+    for sizes in ([], [0], [0, 0, 5], [1, 10**5, 3], [10**4] * 7, [r.randrange(10**5) for _ in range(12)], [10**6, *range(30)]):
+        w = [1 + i % 3 for i in range(len(sizes))]
+        df = spark.createDataFrame([(i, s, k) for i, (s, k) in enumerate(zip(sizes, w, strict=True))], "i int, source_size long, weight int")
+        got = [x.target for x in mixing.with_targets(df).orderBy("i").collect()]
+        assert np.allclose(got, fill_targets(sizes, w), rtol=1e-9, atol=1e-6), sizes
 
 
 def check(rows, mixed):
@@ -47,7 +64,7 @@ def check(rows, mixed):
         per[s] += size(t)
     assert counted((r.doc_id, r.rill_mix.size) for r in mixed) == counted((i, size(t)) for i, t, _ in rows)
     names = sorted(per, key=lambda s: (s is None, (s or "").encode()))
-    target = dict(zip(names, mixing.fill_targets(np.array([per[s] for s in names]), np.array([1.0 + i % 3 for i in range(len(names))])), strict=True))
+    target = dict(zip(names, fill_targets([per[s] for s in names], [1.0 + i % 3 for i in range(len(names))]), strict=True))
     taken = defaultdict(int)
     for r in mixed:
         assert r.rill_mix.source_size == per[r.source] and abs(r.rill_mix.target - target[r.source]) < 1e-6
@@ -100,4 +117,33 @@ def test_small_source_with_one_short_document_in_a_shard(spark, monkeypatch, sto
     small = [r.rill_mix for r in mixed if r.doc_id >= 10_000]
     assert small[0].target == 3 * 1900 if stopped else 1.4 * 1900 < small[0].target < 1.7 * 1900
     check(rows, mixed)
-    assert sum(m.taken % m.size > 0 for m in small) <= 30
+    parts = -(-(190 if stopped else 290) // mixing.SHARD)
+    assert sum(m.taken % m.size > 0 for m in small) <= parts  # one cut a part
+
+
+def test_rows_without_ids_and_equal_rows_spread(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 200)
+    rows = [(None, prose(i, 20), "a") for i in range(1500)] + [(5, prose(1, 20), "a")] * 1500 + [(i, "", "a") for i in range(9)]
+    rows += [(100 + i, prose(i, 20), "b") for i in range(1000)] + [(None, None, None)] * 1500
+    docs(spark, rows).write.parquet(f"{tmp_path}/d")
+    table = spark.read.parquet(f"{tmp_path}/d")
+    mixed = mixing.mix(table)
+    check(rows, mixed.collect())
+    assert counted(mixed.collect()) == counted(mixing.mix(table).collect())
+    assert mixed.columns == [*table.columns, "rill_mix"]
+
+
+def test_parts_are_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD", 200)
+    rows = [(None, prose(i, 20), "a") for i in range(3000)] + [(5, prose(1, 20), "a")] * 3000
+    docs(spark, rows).write.parquet(f"{tmp_path}/d")
+    seen = []
+    real = mixing.apportioned
+    monkeypatch.setattr(mixing, "apportioned", lambda df, *a: seen.append(df) or real(df, *a))
+    check(rows, mixing.mix(spark.read.parquet(f"{tmp_path}/d")).collect())
+    assert seen[1].agg(mixing.F.max("votes")).first()[0] <= 20 * 500
+
+
+def test_many_small_sources(spark):
+    rows = [(i, prose(i, 10 + i % 7), f"s{i // 2:04d}") for i in range(1200)] + [(10_000 + i, prose(i, 200), "z") for i in range(300)]
+    check(rows, mixing.mix(docs(spark, rows)).collect())
