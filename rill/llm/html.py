@@ -1,11 +1,15 @@
 """Main text of HTML pages by scoring a tree.
 
-Each paragraph's points (one, one for each comma, up to three for its length) go to its parent in full, to the
-next ancestor by half, and on by less; a container's points are discounted by the share of its text in links.
-The best container is kept, with those of its siblings that score a fifth of it or read like paragraphs.
+Each paragraph's points (one, one for each comma, up to three for its length) go to its parent in full and to each
+further ancestor by half of what the one below got; a container's points are discounted by the share of its text in
+links. The best container is kept, with those of its siblings that score a fifth of it or read like paragraphs.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts and styles are known by
-element, role, class or id, and give and receive no points.
+element, role, class or id, and give and receive no points; a page of nothing else has no main text. Elements that
+hold what a page only shows (formulas, embedded objects' own text) are text like other.
+
+Time is linear in a page's length, whatever its nesting: open elements are found by name, and points and lengths
+are summed from the leaves up, once a node.
 """
 
 from __future__ import annotations
@@ -20,10 +24,11 @@ from pyspark.sql import functions as F
 
 #: Fixed values of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe xmp noembed noframes svg math object select".split())
+RAW = set("script style textarea title noscript template iframe xmp noembed noframes svg select annotation annotation-xml".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt "
-    "ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr object output q rp rt "
+    "ruby s samp small span strike strong sub sup time tt u var wbr math menclose merror mfenced mfrac mi mmultiscripts mn mo "
+    "mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 CLOSES_P = set(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -56,14 +61,20 @@ _WORD = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "boiler", "points", "text", "linked", "direct")
+    """An element: what stands above it is settled when it is opened, its points and lengths when the page is read."""
+
+    __slots__ = ("tag", "parent", "boiler", "block", "in_link", "heads", "points", "text", "linked", "direct", "kept")
 
     def __init__(self, tag: str, parent: Node | None, boiler: bool):
         self.tag, self.parent, self.boiler = tag, parent, boiler
-        self.points, self.text, self.linked, self.direct = 0.0, 0, 0, False
+        self.block = parent.block if parent and tag in INLINE else self
+        self.in_link = tag == "a" or parent is not None and parent.in_link
+        #: A header, or headers in headers, of an article: their headings are part of it if nothing else hides them.
+        self.heads = tag == "header" and parent is not None and (parent.heads if parent.boiler else parent.tag in ("article", "main"))
+        self.points, self.text, self.linked, self.direct, self.kept = 0.0, 0, 0, False, False
 
 
-def _is_boiler(tag: str, attributes: str, by_words: bool) -> bool:
+def _is_boiler(tag: str, attributes: str) -> bool:
     if tag in BOILER_TAGS:
         return True
     if not attributes or tag in SPARED_TAGS:
@@ -73,22 +84,22 @@ def _is_boiler(tag: str, attributes: str, by_words: bool) -> bool:
         return True
     if found.get("role", "").lower() in BOILER_ROLES:
         return True
-    if by_words:
-        for name in f"{found.get('class', '')} {found.get('id', '')}".split():
-            parts = [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
-            if parts and parts[0] not in SPARED_FIRST and any(p in BOILER_WORDS or p.startswith("comment") for p in parts):
-                return True
+    for name in f"{found.get('class', '')} {found.get('id', '')}".split():
+        parts = [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name))]
+        if parts and parts[0] not in SPARED_FIRST and any(p in BOILER_WORDS or p.startswith("comment") for p in parts):
+            return True
     return False
 
 
 class Page:
     """Blocks of a page, each with its innermost block element and the length of its linked text."""
 
-    def __init__(self, source: str, by_words: bool):
+    def __init__(self, source: str):
         self.blocks: list[tuple[Node, str, int]] = []
-        self.root = Node("html", None, False)
-        self.stack, self.pieces, self.links = [self.root], [], 0
-        self.by_words = by_words
+        root = Node("html", None, False)
+        #: All elements, parents before children; those open, and where each name is among them.
+        self.nodes, self.stack, self.places = [root], [root], {}
+        self.pieces, self.links = [], 0
         self._read(source)
         self._end_block()
 
@@ -134,20 +145,25 @@ class Page:
     def _text(self, raw: str) -> None:
         text = html.unescape(raw) if "&" in raw else raw
         self.pieces.append(text)
-        if any(x.tag == "a" for x in self.stack[-4:]):
+        if self.stack[-1].in_link:
             self.links += len(" ".join(text.split()))
 
     def _end_block(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             if text:
-                owner = next(x for x in reversed(self.stack) if x.tag not in INLINE)
-                self.blocks.append((owner, text, min(self.links, len(text))))
+                self.blocks.append((self.stack[-1].block, text, min(self.links, len(text))))
             self.pieces, self.links = [], 0
 
     def _pop_to(self, index: int) -> None:
+        for x in self.stack[index:]:
+            self.places[x.tag].pop()
         del self.stack[index:]
 
+    def _last(self, tags: set[str]) -> int:
+        """Where the innermost open element of these names stands; 0 if there is none."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br" or tag in VOID and tag in INLINE:
             self.pieces.append(" ")
@@ -155,118 +171,91 @@ class Page:
         inline = tag in INLINE
         if not inline:
             self._end_block()
-        if tag in VOID or tag in ("html", "body") and any(x.tag == tag for x in self.stack[1:]):
+        if tag in VOID or tag in ("html", "body") and self.places.get(tag):
             return
         if tag in CLOSES_P:
             self._imply({"p"}, {"button", "table", "td", "th", "body"})
         if tag in IMPLIED:
             self._imply(*IMPLIED[tag])
         parent = self.stack[-1]
-        boiler = parent.boiler or _is_boiler(tag, attributes, self.by_words)
+        boiler = parent.boiler or _is_boiler(tag, attributes)
         if boiler and not inline:
             self._end_block()
         if not attributes.endswith("/") or tag not in ("path", "circle"):
+            self.places.setdefault(tag, []).append(len(self.stack))
             self.stack.append(Node(tag, parent, boiler))
+            self.nodes.append(self.stack[-1])
 
     def _imply(self, ends: set[str], scope: set[str]) -> None:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag in ends:
-                self._pop_to(i)
-                self._imply(ends, scope)
-                return
-            if self.stack[i].tag in scope:
-                return
+        while (at := self._last(ends)) > self._last(scope - ends):
+            self._pop_to(at)
 
     def _close(self, tag: str) -> None:
         if tag not in INLINE:
             self._end_block()
-        if tag == "p" and all(x.tag != "p" for x in self.stack):
+        if not self.places.get(tag):
+            return
+        if tag not in INLINE:
+            self._pop_to(self.places[tag][-1])
             return
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i].tag == tag:
                 self._pop_to(i)
                 return
-            if tag in INLINE and self.stack[i].tag not in INLINE:
-                if self.stack[i].tag in ("p", "li", "td", "th") and tag != "a":
-                    continue
+            if self.stack[i].tag not in INLINE and (tag == "a" or self.stack[i].tag not in ("p", "li", "td", "th")):
                 return
 
 
+#: Text that stands right in one of these counts for it as a paragraph of its own.
+CONTAINERS = set("div section article main body html td center".split())
+
+
 def _score(page: Page) -> None:
+    """Points, lengths and linked lengths of all nodes, from the leaves up."""
     for owner, text, linked in page.blocks:
-        node, level = owner, 0
-        while node is not None:
-            node.text += len(text)
-            node.linked += linked
-            node = node.parent
-        if owner.boiler:
-            continue
-        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
-        owner.direct = True
-        # text that stands right in a container counts for the container as a paragraph of its own
-        node = owner if owner.tag in ("div", "section", "article", "main", "body", "html", "td", "center") else owner.parent or owner
-        while node is not None:
-            node.points += points / (1 if level == 0 else 2 if level == 1 else 3 * level)
-            node, level = node.parent, level + 1
+        owner.text += len(text)
+        owner.linked += linked
+        if not owner.boiler:
+            owner.direct = True
+            receiver = owner if owner.tag in CONTAINERS else owner.parent or owner
+            receiver.points += (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - linked / len(text))
+    for x in reversed(page.nodes):
+        if x.parent is not None:
+            x.parent.text += x.text
+            x.parent.linked += x.linked
+            x.parent.points += x.points / 2
 
 
 def _density(node: Node) -> float:
     return node.linked / node.text if node.text else 0.0
 
 
-def _kept_nodes(page: Page) -> set[int]:
-    """The best container and the siblings that belong to it."""
-    nodes: dict[int, Node] = {}
-    for owner, _, _ in page.blocks:
-        node = owner
-        while node is not None and id(node) not in nodes:
-            nodes[id(node)] = node
-            node = node.parent
-    worth = {k: x.points * (1 - _density(x)) for k, x in nodes.items() if not x.boiler}
-    if not worth:
-        return set()
-    best = nodes[max(worth, key=worth.get)]
-    kept = {id(best)}
-    for k, x in nodes.items():
-        if x.parent is best.parent and x is not best and not x.boiler and best.parent is not None:
-            paragraph = x.direct and x.tag in ("p", "pre", "blockquote", *HEADINGS) and _density(x) < 0.25
-            if paragraph or worth.get(k, 0) >= max(1.0, 0.2 * worth[id(best)]):
-                kept.add(k)
-    return kept
-
-
-def _title_in_header(owner: Node) -> bool:
-    """A heading in a header inside an article is part of it, if nothing else hides it."""
-    if owner.tag not in HEADINGS:
-        return False
-    node, seen = owner.parent, False
-    while node is not None and node.boiler:
-        if node.tag != "header":
-            return False
-        node, seen = node.parent, True
-    return seen and node is not None and node.tag in ("article", "main")
+def _keep(page: Page) -> None:
+    """Marks what is in the best container and the siblings that belong to it."""
+    worth = lambda x: x.points * (1 - _density(x))
+    able = [x for x in page.nodes if x.text and not x.boiler]
+    if not able:
+        return
+    best = max(able, key=worth)
+    best.kept = True
+    if best.parent is not None:
+        for x in able:
+            if x.parent is best.parent and not x.kept:
+                paragraph = x.direct and x.tag in ("p", "pre", "blockquote", *HEADINGS) and _density(x) < 0.25
+                x.kept = paragraph or worth(x) >= max(1.0, 0.2 * worth(best))
+    for x in page.nodes:
+        x.kept = x.kept or x.parent is not None and x.parent.kept
 
 
 def main_text(source: str | None) -> str:
     """Blocks of the main text, a line each; empty for a page without any."""
     if not source:
         return ""
-    for by_words in (True, False):
-        page = Page(source, by_words)
-        _score(page)
-        kept = _kept_nodes(page)
-        lines = []
-        for owner, text, _ in page.blocks:
-            if owner.boiler and not _title_in_header(owner):
-                continue
-            node = owner
-            while node is not None and id(node) not in kept:
-                node = node.parent
-            if node is not None:
-                lines.append(text)
-        if lines:
-            return "\n".join(lines)
-    return ""
+    page = Page(source)
+    _score(page)
+    _keep(page)
+    titled = lambda x: x.tag in HEADINGS and x.parent is not None and x.parent.heads
+    return "\n".join(text for owner, text, _ in page.blocks if owner.kept and (not owner.boiler or titled(owner)))
 
 
 def extract(pages: DataFrame) -> DataFrame:

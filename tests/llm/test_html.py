@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from cases import LONG
 
@@ -46,12 +49,107 @@ def test_siblings_of_the_best_container():
 @pytest.mark.parametrize(
     ("page", "text"),
     [(None, ""), ("", ""), ("just text", "just text"), ("a < b", "a < b"), ("<a href=\"", ""), ("<p>x", "x"), ("</p></div>", ""), ("<p>&lt;b&gt;&#233;&eacute;&#x1F642;", "<b>éé🙂"),
-     ("<script>x", ""), ("<!-- x", ""), ("<div class='notice'>only this</div>", "only this"), ("<p>a<p>b</p></p>c", "a\nb\nc"), ("<nav>n</nav>", "")],
+     ("<script>x", ""), ("<!-- x", ""), ("<div class='notice'>only this</div>", ""), ("<p>a<p>b</p></p>c", "a\nb\nc"), ("<nav>n</nav>", "")],
 )
 def test_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+@pytest.mark.parametrize("noise", NOISE)
+def test_pages_of_noise_alone_have_no_text(noise):
+    for page in (noise, f"<html><body>{noise}{noise}</body></html>", f"<div>{noise}</div>"):
+        assert html.main_text(page) == ""
+
+
+def test_formulas_and_objects_are_text_and_deep_links_links():
+    assert html.main_text("<p>Energy <math><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></math> is <object data=x>mass</object>.") == "Energy E=mc2 is mass."
+    deep = "<ul>" + "<li><a href=x><span><b><i><u>Go, on, to, the, next, of, these</u></i></b></span></a>" * 9 + "</ul>"
+    assert html.main_text(f"<body><div>{deep}</div><div>{ARTICLE}</div></body>") == TEXT
+
+
+class Box:
+    """An element of a random page."""
+
+    def __init__(self, r, depth=0):
+        self.tag = r.choice(["div", "section", "nav", "aside", "article"])
+        self.boiler = self.tag in ("nav", "aside")
+        self.inside = [Box(r, depth + 1) if depth < 4 and r.random() < 0.6 else Line(r) for _ in range(r.randrange(1, 4))]
+
+    def html(self):
+        return f"<{self.tag}>{''.join(x.html() for x in self.inside)}</{self.tag}>"
+
+
+class Line:
+    def __init__(self, r):
+        self.tag, self.text, self.link = r.choice(["p", "h2", "blockquote"]), ", ".join(r.choice("abcdef") * r.randrange(1, 60) for _ in range(r.randrange(1, 9))), r.random() < 0.3
+
+    def html(self):
+        return f"<{self.tag}>{f'<a href=x>{self.text}</a>' if self.link else self.text}</{self.tag}>"
+
+
+def brute(top):
+    """Main text by the definition: every line walks up, every container is asked for all its lines."""
+    lines, boxes = [], []
+
+    def walk(x, above, boiler):
+        boiler = boiler or getattr(x, "boiler", False)
+        if isinstance(x, Line):
+            lines.append((x, above, boiler))
+        else:
+            boxes.append((x, above, boiler))
+            for y in x.inside:
+                walk(y, [*above, x], boiler)
+
+    root = Box.__new__(Box)
+    root.tag, root.boiler, root.inside = "html", False, [top]
+    walk(root, [], False)
+    points = {}
+    for x, above, boiler in lines:
+        worth = 0 if x.link or boiler else 1 + x.text.count(",") + min(len(x.text) / 100, 3)
+        spread = [x, *above[::-1]]
+        at = spread[1:] if not (x.tag in html.CONTAINERS) else spread
+        for level, y in enumerate(at):
+            points[y] = points.get(y, 0) + worth / 2**level
+    for x, above, boiler in lines:
+        points.setdefault(x, 0)
+
+    def worth(x):
+        inside = [(y, len(y.text)) for y, above, _ in lines if x is y or x in above]
+        return points.get(x, 0) * (1 - sum(n for y, n in inside if y.link) / sum(n for _, n in inside))
+
+    able = sorted([(x, above) for x, above, boiler in [*boxes, *lines] if not boiler], key=lambda t: (len(t[1]), 0))
+    scores = {x: worth(x) for x, _ in able}
+    best = max(scores.values())
+    winners = [x for x, _ in able if abs(scores[x] - best) < 1e-9]
+    if len(winners) > 1:
+        return None  # a tie goes to the first in page order, which this does not tell
+    win, up = next((x, above) for x, above in able if x is winners[0])
+    keep = {win}
+    for x, above in able:
+        if up and above and above[-1] is up[-1] and x is not win and (isinstance(x, Line) and not x.link or scores[x] >= max(1, 0.2 * best)):
+            keep.add(x)
+    return "\n".join(x.text for x, above, boiler in lines if not boiler and keep & {x, *above})
+
+
+def test_scores_against_brute_force():
+    checked = 0
+    for seed in range(400):
+        r = random.Random(seed)
+        page = Box(r)
+        want = brute(page)
+        if want is not None:
+            assert html.main_text(page.html()) == want, page.html()
+            checked += 1
+    assert checked > 200
+
+
+def test_deep_nesting_is_linear():
+    began = time.perf_counter()
+    for page in ("<div>" * 100_000 + "x", "<p><button>" + "<div>a" * 50_000, "<b>" * 50_000 + "x<hr>" * 50_000, "<ul><li>a" * 50_000):
+        assert html.main_text(page) or "button" in page
+    assert time.perf_counter() - began < 8
+
+
 def test_long_and_broken_pages_end():
     assert html.main_text(f"<p>{LONG}</p>") == LONG
     html.main_text("<a href='" * 3000)
