@@ -169,14 +169,16 @@ def learn_rules(rates: np.ndarray, bad: np.ndarray) -> list[Rule]:
 def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
     """Rules from `labels` (doc_id, quality: 1 good, 0 bad) of at most `sample` documents; no labels, no rules.
 
-    The sample's ids are broadcast: `sample` bounds them. Of several labels of a document the smallest counts.
+    The sample's ids are broadcast, and a row for each comes to the driver: `sample` bounds both. Of several labels
+    of a document the smallest counts, of several documents of an id the one of the smallest rates.
     Documents that fail the base rule teach nothing and are left out.
     """
     quality = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("rill_id"))
     chosen = quality.agg(F.min("quality").alias("rill_quality")).orderBy(F.xxhash64("rill_id"), "rill_id").limit(sample)
     joined = docs.select(F.col("doc_id").cast("long").alias("rill_id"), "text").join(F.broadcast(chosen), "rill_id")
     stats = with_statistics(joined).where("not rill_stats.base_failed")
-    rows = stats.select("rill_id", "rill_quality", *(f"rill_stats.{k}" for k in RATES)).collect()
+    one = F.min(F.struct("rill_quality", *(f"rill_stats.{k}" for k in RATES))).alias("one")  # of rows with one id
+    rows = stats.groupBy("rill_id").agg(one).select("rill_id", "one.*").collect()
     if not rows:
         return []
     rows.sort(key=lambda r: tuple(r))

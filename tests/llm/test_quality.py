@@ -52,6 +52,15 @@ def test_learned_list_on_held_out_rows(spark):
     assert good.columns == docs(spark).columns and good.count() == sum(kept.values())
 
 
+def test_driver_gets_a_row_for_each_sampled_id(spark, monkeypatch):
+    rows = [(7, prose(i, 30), "a") for i in range(500)] + [(i, prose(i, 30), "a") for i in range(100, 120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in (7, *range(100, 120))], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "learn_rules", lambda rates, bad: seen.append(len(rates)) or [])
+    quality.fit_rules(docs(spark, rows), labels, sample=10)
+    assert seen and seen[0] <= 10
+
+
 def test_noise_teaches_nothing():
     r = np.random.default_rng(1)
     assert quality.learn_rules(r.random((900, len(quality.RATES))), r.random(900) < 0.1) == []
