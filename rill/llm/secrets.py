@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and strings that a tokenizer's vocabulary finds hard to say.
 
 A tokenizer's merges were learned from text, so words and names take few tokens and random strings take many:
-a string that mixes letters and digits and has few characters to a token is reported, unless it is a known kind
-of digest (its length in hex digits is that of a common hash), a UUID or another known identifier, or lies in a
-span that the patterns found.
+a string that has few characters to a token is reported. Strings of letters alone are tried as well, at stricter
+ratios, for rare words and compounds take many tokens too; how strict goes by case and length. Known kinds
+of digests (hex digits as many as a common hash has, integrity values), UUIDs, ULIDs and numbers are left alone. Of
+a string that overlaps a span of the patterns, the parts outside are reported, if they are random themselves.
 
 Positions are code points of the whole text, ends exclusive.
 """
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,10 @@ KINDS = ("assign", "access", "hex", "random")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 #: A candidate's least length, and the most characters to a token of a string that counts as random.
 MIN_RANDOM, MAX_RATIO = 16, 1.9
+#: The same for strings without digits: of mixed case, of one case, and of one case from `LONG_LETTERS` characters on.
+MIXED_RATIO, LETTERS_RATIO, LONG_RATIO, LONG_LETTERS = 1.7, 1.55, 1.7, 24
+#: The least length of a random part that a pattern's span leaves of a longer string.
+MIN_REST = 6
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 MASK = "[SECRET]"
 REMEMBERED = 100_000
@@ -39,6 +45,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(rf"(?<![0-9a-f])[0-9a-f]{{{MIN_HEX},}}")
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{MIN_RANDOM},}}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\Z")
+ULID = re.compile(r"[0-7][0-9A-HJKMNP-TV-Z]{25}\Z")
+INTEGRITY = re.compile(r"sha(?:1|256|384|512)[-_=][A-Za-z0-9+/_-]+={0,2}\Z")
 HEX_ONLY = re.compile(r"[0-9A-Fa-f]+\Z")
 #: Dates, times, versions, card and telephone numbers: digits and signs, with a few letters at most.
 NUMBER_LIKE = re.compile(r"[0-9T_Z+/=-]+\Z")
@@ -57,7 +65,17 @@ def base_spans(text: str) -> list[Span]:
 
 
 def is_known_identifier(s: str) -> bool:
-    return bool(UUID.match(s) or NUMBER_LIKE.match(s) or HEX_ONLY.match(s) and len(s) in DIGEST_LENGTHS)
+    patterns = (UUID, ULID, INTEGRITY, NUMBER_LIKE)
+    return any(p.match(s) for p in patterns) or bool(HEX_ONLY.match(s)) and len(s) in DIGEST_LENGTHS
+
+
+def most_ratio(s: str) -> float:
+    """The most characters to a token with which a string counts as random."""
+    if any(map(str.isdigit, s)):
+        return MAX_RATIO
+    if not s[1:].islower() and not s.isupper():
+        return MIXED_RATIO
+    return LONG_RATIO if len(s) >= LONG_LETTERS else LETTERS_RATIO
 
 
 class Scanner:
@@ -76,20 +94,36 @@ class Scanner:
     def is_random(self, s: str) -> bool:
         found = self.known.get(s)
         if found is None:
-            mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
-            found = mixed and not is_known_identifier(s) and len(s) <= MAX_RATIO * len(self.encoding.encode_ordinary(s))
+            known = is_known_identifier(s) or not any(map(str.isalpha, s))
+            found = not known and len(s) <= most_ratio(s) * len(self.encoding.encode_ordinary(s))
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             self.known[s] = found
         return found
 
     def spans(self, text: str) -> list[Span]:
-        base = base_spans(text)
-        free = lambda a, b: all(b <= x or y <= a for x, _, y in base)
-        found = [(m.start(), 3, m.end()) for m in CANDIDATE.finditer(text) if self.is_random(m[0]) and free(*m.span())]
+        base, found, at = base_spans(text), [], 0
+        for m in CANDIDATE.finditer(text):
+            if self.is_random(m[0]):
+                while at < len(base) and base[at][2] <= m.start():
+                    at += 1
+                rest = outside(*m.span(), islice(base, at, None))
+                found += [(a, 3, b) for a, b in rest if b - a == len(m[0]) or b - a >= MIN_REST and self.is_random(text[a:b])]
         return sorted(base + found)
 
 
+def outside(start: int, end: int, spans: Iterable[Span]) -> list[tuple[int, int]]:
+    """The parts of a stretch that no span covers; spans are sorted by start."""
+    out = []
+    for a, _, b in spans:
+        if a >= end:
+            break
+        if a > start:
+            out.append((start, a))
+        start = max(start, b)
+    return [*out, (start, end)] if start < end else out
+
+
 def described(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 

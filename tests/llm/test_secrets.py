@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import string
 
 import public_tokenizers
 import pytest
@@ -62,6 +63,45 @@ def test_random_strings_are_added_and_known_ones_left(scanner):
     assert [k for _, k, _ in scanner.spans("token=x7Kp2QvR9sLm4TzBq8")] == [0]
 
 
+WORDS = "get set user account name index value file path list map node tree item count config manager service handler request response parser token buffer stream".split()
+
+
+def planted(r, letters, n):
+    return "".join(r.choices(letters, k=n))
+
+
+@pytest.mark.parametrize(
+    ("letters", "n", "least"),
+    [(string.ascii_letters + string.digits, 20, 0.98), (string.ascii_letters + string.digits + "+/", 40, 0.99), (string.ascii_letters, 24, 0.95), (string.ascii_letters, 40, 0.97),
+     (string.ascii_uppercase, 32, 0.9), (string.ascii_lowercase, 32, 0.5)],
+)
+def test_recall_on_planted_strings(scanner, letters, n, least):
+    r = random.Random(n)
+    found = sum([k for _, k, _ in scanner.spans(f"the key {planted(r, letters, n)} is here")] == [3] for _ in range(500))
+    assert found >= least * 500
+
+
+def test_precision_on_names_and_long_words(scanner):
+    r, wrong = random.Random(1), 0
+    makers = (lambda w: "".join(x.capitalize() for x in w), "_".join, "-".join, "/".join, "".join, lambda w: "_".join(w).upper(), lambda w: "".join(w).upper())
+    for _ in range(300):
+        wrong += sum(any(k == 3 for _, k, _ in scanner.spans(f"see {make(r.choices(WORDS, k=4))} here")) for make in makers)
+    assert wrong <= 0.002 * 300 * len(makers)
+    for s in ("Donaudampfschifffahrtsgesellschaft", "Rindfleischetikettierungsueberwachungsaufgabenuebertragungsgesetz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+              "Llanfairpwllgwyngyllgogerychwyrndrobwllllantysiliogogogoch", "qwertyuiopasdfghjklzxcvbnm", "z" * 40, "=" * 40, "XMLHttpRequestEventTarget"):
+        assert scanner.spans(f"see {s} here") == []
+
+
+def test_identifiers_are_excluded_and_rests_added(scanner):
+    for s in ("01ARZ3NDEKTSV4RRFFQ69G5FAV", "sha384-oqVuAfXRKap7fdgcCY5uykM6+R9GqQ8K/uxy9rx7HNQlGYl1kPzQho1wx4JwY8wC", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU="):
+        assert scanner.spans(f"see {s} here") == []
+    head, tail = "Zq7WxKv2LpTj", "RbNc8GhQyVmX"
+    text = f"see {head}{'0123456789abcdef' * 2}{tail} and sha1={HEX}"
+    at = text.index(head)
+    assert [(a, k, b) for a, k, b in scanner.spans(text) if k == 3] == [(at, 3, at + 12), (at + 44, 3, at + 56)]
+    assert secrets.outside(0, 10, [(2, 0, 4), (3, 1, 6), (9, 0, 20), (30, 0, 31)]) == [(0, 2), (6, 9)]
+
+
 def test_masking(spark, scanner):
     assert secrets.masked("a password=abcdefgh b", scanner.spans("a password=abcdefgh b")) == "a [SECRET] b"
     assert secrets.masked(TEXTS[2], scanner.spans(TEXTS[2])).count("[SECRET]") == 3
