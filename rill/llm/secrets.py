@@ -129,11 +129,11 @@ def described(spans: list[Span]) -> str:
 
 
 def masked(text: str, spans: list[Span]) -> str:
-    """`text` with each stretch that spans cover replaced by `MASK`."""
+    """`text` with each stretch that spans cover, or adjoin in, replaced by `MASK`."""
     out, at = [], 0
     for a, _, b in spans:
         if b > at:
-            if a >= at:
+            if a > at or not out:
                 out += [text[at:a], MASK]
             at = b
     return "".join([*out, text[at:]])
