@@ -2,22 +2,25 @@
 
 A character language model (four letters, counted over all documents) says how likely a restored text is; a
 channel says what writing it as observed costs: look-alike signs for letters, signs and blanks put between
-letters, letters repeated. A beam search over the lattice of readings (Viterbi's, but with only the `BEAM` likeliest
-contexts kept after each character) restores each word, and each run of single characters that blanks pull apart,
-from end to end: what all readings in the beam share is settled and put out on the way. Restored words are scored with a lexicon learned from labels, of words
-and of word beginnings, which inflected forms share; a word counts by the most specific entry it has.
+letters, letters repeated. Viterbi's algorithm over the lattice of readings finds the likeliest of all readings of
+each word, and of each run of single characters that blanks pull apart, from end to end: it keeps the best way to
+each of the model's contexts that a reading can reach, and no others are there. Restored words are scored with a
+lexicon learned from labels, of whole words and of word families. A word that is longer than a lexicon word by up to
+`ENDING` letters counts as its inflection, unless clean texts speak against it; a family is a beginning of `STEM`
+letters that `FAMILY` or more different words of toxic texts share and that passes the same test as words do.
 
 The lexicon is fitted on at most `SAMPLE` labelled documents outside the held-out fold, those with the smallest
-XXH64 of doc_id. A word's toxic evidence is the number of different neighbourhoods it has in toxic documents,
-so copies of one document count once. Scores combine the words found by noisy-or over the base rate.
+XXH64 of doc_id. A word's toxic evidence is the number of different toxic texts, or of different neighbourhoods in
+them, that it has, whichever is less, so neither copies nor one long text count for much. Scores combine the words
+found by noisy-or over the base rate.
 
-The model is bounded: 28^4 counts and `LEXICON` words. Scores use the text alone.
+The model is bounded: 28^4 counts and `LEXICON` words. Scores use the text alone. Tokens of which less than an
+eighth is letters are numbers or drawings and have no words.
 """
 
 from __future__ import annotations
 
 import math
-import os.path
 import re
 from array import array
 from collections import Counter
@@ -38,8 +41,10 @@ FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 #: the chance of a word's evidence, times the number of words tested, must stay below it.
 MIN_SHARE, EXPECTED_FALSE = 0.85, 0.1
 
-#: Lengths of word beginnings that the lexicon may hold.
-STEM = 3, 8
+#: Letters of a lexicon word that may have inflections, and of what these add.
+ROOT, ENDING = 5, 3
+#: Least and most letters of a family's beginning, and its different words.
+STEM, FAMILY = (5, 8), 4
 
 #: Classes of characters: 0 a word border, 1-26 the letters a-z, 27 any other letter.
 CLASSES, ORDER = 28, 4
@@ -52,7 +57,9 @@ LOOKALIKES = {
 }
 #: Costs in nats.
 SUBSTITUTED, DROPPED, SIGN_DROPPED, PARTED, REPEATED, REPEATED_AGAIN = 1.5, 1.0, 2.5, 1.0, 3.0, 0.3
-BEAM, SETTLED, REMEMBERED = 12, 64, 300_000
+#: Tokens that a worker remembers, and the longest of them. With more look-alikes than `FEW`, contexts are many and
+#: are worked on as arrays, whose way back is cleared every `SETTLED` characters.
+REMEMBERED, LONGEST_REMEMBERED, FEW, SETTLED = 300_000, 64, 10, 64
 EDGES = ".,;:?\"'*&%#)]}[{~_-…»«“”‘’"
 
 
@@ -61,19 +68,18 @@ def letter_class(c: str) -> int:
 
 
 def _class_table() -> np.ndarray:
-    return np.array([letter_class(chr(i).lower()) for i in range(0x250)], np.int64)
+    return np.array([letter_class(chr(i)) for i in range(0x110000)], np.int8)
 
 
 def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(gram, n): counts of class four-grams over every whole text; border runs count as one border."""
+    """(gram, n): counts of class four-grams over every whole text, lower-cased; border runs count as one border."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, total = _class_table(), np.zeros(CONTEXTS * CLASSES, np.int64)
+        table, total = per_worker(("classes",), _class_table), np.zeros(CONTEXTS * CLASSES, np.int64)
         for b in batches:
             for text in b.column(0).to_pylist():
-                points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-                c = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], 27)
-                c = np.concatenate([[0], c, [0]])
+                points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+                c = np.concatenate([[0], table[points].astype(np.int64), [0]])
                 c = c[(c != 0) | (np.concatenate([[1], c[:-1]]) != 0)]
                 c = np.concatenate([np.zeros(ORDER - 2, np.int64), c])
                 if len(c) >= ORDER:
@@ -103,55 +109,114 @@ class Restorer:
     known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def restore(self, observed: str) -> str:
-        """The likeliest reading of `observed` (lower case): words with single blanks between."""
-        model, beam, last, run = self.model, {0: (0.0, "")}, "", 0
-        settled: list[str] = []
-        for place, ch in enumerate(observed, 1):
+        """The likeliest of all readings of `observed` (lower case): words with single blanks between."""
+        steps = self._steps(observed)
+        reading = self._few(steps) if sum(len(x[0]) > 1 or not x[3] for x in steps if x[0]) <= FEW else self._many(steps)
+        return reading.strip()
+
+    @staticmethod
+    def _steps(observed: str) -> list[tuple[list[tuple[str, int, float]], float, float | None, bool]]:
+        """Of each character: letters it may stand for (with class and cost), costs of a repeat and of a drop, and
+        whether it is a letter itself, which is neither dropped nor a border."""
+        steps, last, run = [], "", 0
+        for ch in observed:
             run, last = (run + 1 if ch == last else 1), ch
             plain = letter_class(ch)
             letters = [(ch, plain, 0.0)] if plain else [(x, ord(x) - 96, SUBSTITUTED) for x in LOOKALIKES.get(ch, "")]
-            repeated = REPEATED_AGAIN if run > 2 else REPEATED
-            new: dict[int, tuple[float, str]] = {}
-
-            def offer(context: int, score: float, text: str, new=new) -> None:
-                if context not in new or score > new[context][0]:
-                    new[context] = (score, text)
-
-            for context, (score, text) in beam.items():
-                at = context * CLASSES
+            dropped = None if plain else 0.1 if ch == " " else SIGN_DROPPED if letters else DROPPED
+            steps.append((letters, REPEATED_AGAIN if run > 2 else REPEATED, dropped, bool(plain)))
+        return steps
+
+    def _few(self, steps: list) -> str:
+        """One dictionary of contexts: the score of the best way there, and its letters as linked pairs."""
+        model, ways, other = self.model, {0: (0.0, None)}, ""
+        for letters, repeated, dropped, plain in steps:
+            new: dict[int, tuple[float, tuple | None]] = {}
+            for context, (score, text) in ways.items():
+                at, final = context * CLASSES, context % CLASSES
                 for letter, k, cost in letters:
-                    offer((at + k) % CONTEXTS, score - cost + model[at + k], text + letter)
-                    if text[-1:] == letter:
-                        offer(context, score - cost - repeated, text)
+                    to, value = (at + k) % CONTEXTS, score - cost + model[at + k]
+                    if to not in new or value > new[to][0]:
+                        new[to] = (value, (letter, text))
+                    if final == k and (k < CLASSES - 1 or other == letter):
+                        value = score - cost - repeated
+                        if context not in new or value > new[context][0]:
+                            new[context] = (value, text)
                 if not plain:
-                    offer(context, score - (0.1 if ch == " " else SIGN_DROPPED if letters else DROPPED), text)
-                    if text and text[-1] != " ":
-                        offer(at % CONTEXTS, score - PARTED + model[at], text + " ")
-            beam = new if len(new) <= BEAM else dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM])
+                    if context not in new or score - dropped > new[context][0]:
+                        new[context] = (score - dropped, text)
+                    if final:
+                        to, value = at % CONTEXTS, score - PARTED + model[at]
+                        if to not in new or value > new[to][0]:
+                            new[to] = (value, (" ", text))
+            ways, other = new, letters[0][0] if plain else other
+        text = max(((score + model[c * CLASSES], c, text) for c, (score, text) in ways.items()), key=lambda x: x[:2])[2]
+        out = []
+        while text is not None:
+            out.append(text[0])
+            text = text[1]
+        return "".join(reversed(out))
+
+    def _many(self, steps: list) -> str:
+        """The same with arrays: contexts in order, scores, and for each step where its ways come from."""
+        model = np.frombuffer(self.model, np.float32)
+        contexts, scores, other = np.zeros(1, np.int64), np.zeros(1), ""
+        settled: list[str] = []
+        back: list[tuple[np.ndarray, np.ndarray, list[str]]] = []
+        for place, (letters, repeated, dropped, plain) in enumerate(steps, 1):
+            at, final, every = contexts * CLASSES, contexts % CLASSES, np.arange(len(contexts))
+            parts, signs = [], [""]
+            for letter, k, cost in letters:
+                signs.append(letter)
+                parts.append(((at + k) % CONTEXTS, scores - cost + model[at + k], every, len(signs) - 1))
+                if k < CLASSES - 1 or other == letter:
+                    same = every[final == k]
+                    parts.append((contexts[same], scores[same] - cost - repeated, same, 0))
+            if not plain:
+                signs.append(" ")
+                inside = every[final > 0]
+                parts.append((contexts, scores - dropped, every, 0))
+                parts.append((at[inside] % CONTEXTS, scores[inside] - PARTED + model[at[inside]], inside, len(signs) - 1))
+            to, value, come = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            sign = np.repeat([p[3] for p in parts], [len(p[0]) for p in parts])
+            order = np.lexsort((-value, to))
+            first = order[np.append(True, np.diff(to[order]) > 0)]
+            contexts, scores, other = to[first], value[first], letters[0][0] if plain else other
+            back.append((come[first], sign[first], signs))
             if place % SETTLED == 0:
-                shared = len(os.path.commonprefix([text for _, text in beam.values()])) - 1  # the last letter may be repeated
-                if shared > 0:
-                    settled.append(next(iter(beam.values()))[1][:shared])
-                    beam = {c: (score, text[shared:]) for c, (score, text) in beam.items()}
-        settled.append(max((score + model[c * CLASSES], text) for c, (score, text) in beam.items())[1])
-        return "".join(settled).strip()
+                self._settle(back, settled)
+        best = int(np.lexsort((-contexts, -(scores + model[contexts * CLASSES])))[0])
+        return "".join([*settled, _read_back(back, best)])
+
+    @staticmethod
+    def _settle(back: list, settled: list[str]) -> None:
+        """Put out and forget the steps that all ways share."""
+        ways = np.arange(len(back[-1][0]))
+        for k in range(len(back) - 1, -1, -1):
+            ways = np.unique(back[k][0][ways])
+            if len(ways) == 1 and k:
+                settled.append(_read_back(back[:k], int(ways[0])))
+                del back[:k]
+                return
 
     def words(self, token: str) -> tuple[str, ...]:
         """Restored words of one blank-free token of a lower-cased text."""
         found = self.known.get(token)
         if found is None:
             found = self._read(token)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[token] = found
+            if len(token) <= LONGEST_REMEMBERED:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[token] = found
         return found
 
     def _read(self, token: str) -> tuple[str, ...]:
         bare = token.strip(EDGES)
-        if not any(map(str.isalpha, bare)):
+        if bare.isalpha():
+            if not _DOUBLED.search(bare):
+                return (bare,)
+        elif not bare or 8 * sum(map(str.isalpha, bare)) < len(bare):
             return ()
-        if bare.isalpha() and not _DOUBLED.search(bare):
-            return (bare,)
         return tuple(self.restore(bare).split())
 
     def spaced(self, text: str) -> list[str]:
@@ -162,6 +227,14 @@ class Restorer:
         return out
 
 
+def _read_back(back: list, way: int) -> str:
+    out = []
+    for come, sign, signs in reversed(back):
+        out.append(signs[sign[way]])
+        way = int(come[way])
+    return "".join(reversed(out))
+
+
 _DOUBLED = re.compile(r"(.)\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]+\S(?!\S)){2,}")
 
@@ -171,9 +244,14 @@ def _restorer(letters: array) -> Restorer:
     return per_worker(("restorer", xxhash.xxh64_intdigest(letters.tobytes())), lambda: Restorer(letters))
 
 
-def features(word: str) -> list[str]:
-    """A word and its beginnings, most specific first; inflected forms share a beginning."""
-    return [word, *(word[:k] + "*" for k in range(min(STEM[1], len(word) - 1), STEM[0] - 1, -1))]
+def inflected(word: str) -> list[str]:
+    """What a word may be an inflection of, as the lexicon writes it; longest first."""
+    return [word[:k] + "+" for k in range(len(word) - 1, max(ROOT, len(word) - ENDING) - 1, -1)]
+
+
+def beginnings(word: str) -> list[str]:
+    """The families that a word may be of, as the lexicon writes them; longest first."""
+    return [word[:k] + "*" for k in range(min(STEM[1], len(word) - 1), STEM[0] - 1, -1)]
 
 
 @dataclass(frozen=True)
@@ -183,11 +261,15 @@ class Model:
     base: float
 
     def find(self, words: Iterable[str]) -> Iterator[str]:
-        """The most specific lexicon entry of each word that has one."""
+        """The lexicon entry of each word that has one: itself, or the longest that it inflects, or its family."""
+        lexicon = self.lexicon
         for w in words:
-            hit = next((f for f in features(w) if f in self.lexicon), None)
-            if hit is not None:
-                yield hit
+            if w in lexicon:
+                yield w
+            elif len(w) > ROOT:
+                hit = next((f for f in inflected(w) + beginnings(w) if f in lexicon), None)
+                if hit is not None:
+                    yield hit
 
     def score(self, found: set[str]) -> float:
         clean = 1 - self.base
@@ -211,26 +293,34 @@ def training_texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame
 
 
 def _evidence_rows(letters: array) -> Callable:
-    """Of (toxic, text): each feature's neighbourhoods in toxic texts, and in how many clean texts of a batch it is."""
+    """Of (toxic, text): each word's neighbourhoods in toxic texts, and in how many clean texts of a batch it is."""
+
+    def features(words: Iterable[str]) -> Iterator[str]:
+        for w in words:
+            yield w
+            yield from inflected(w)
+            yield from beginnings(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = _restorer(letters)
+        restorer, digest = _restorer(letters), xxhash.xxh64_intdigest
         for b in batches:
-            toxic: set[tuple[str, int]] = set()
+            toxic: set[tuple[str, int, int]] = set()
             clean: Counter[str] = Counter()
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 low = (text or "").lower()
                 read = [w for t in low.split() for w in restorer.words(t)]
                 if label:
-                    near = {f: i for i, w in enumerate(read) for f in features(w)}
-                    toxic |= {(f, xxhash.xxh64_intdigest(" ".join([*read[max(0, i - 1) : i], *read[i + 1 : i + 2]])) >> 1) for f, i in near.items()}
-                    toxic |= {(f, xxhash.xxh64_intdigest(low) >> 1) for w in restorer.spaced(low) for f in features(w) if f not in near}
+                    text_hash = digest(low) >> 1
+                    for i, w in enumerate(read):
+                        around = digest(" ".join([*read[max(0, i - 1) : i], *read[i + 1 : i + 2]])) >> 1
+                        toxic.update((f, around, text_hash) for f in features([w]))
+                    toxic.update((f, text_hash, text_hash) for f in features(restorer.spaced(low)))
                 else:
-                    clean.update({f for w in set(read).union(restorer.spaced(low)) for f in features(w)})
-            names = [f for f, _ in toxic] + list(clean)
-            around = pa.array([c for _, c in toxic] + [None] * len(clean), pa.int64())
-            counts = pa.array([0] * len(toxic) + list(clean.values()), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), around, counts], ["word", "around", "clean"])
+                    clean.update(set(features({*read, *restorer.spaced(low)})))
+            rows = [(*x, 0) for x in toxic] + [(w, None, None, n) for w, n in clean.items()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["word", "around", "whole", "clean"])
 
     return run
 
@@ -251,6 +341,9 @@ class Finder:
             for t in new:
                 known[t] = tuple(self.model.find(self.restorer.words(t)))
         found = {hit for t in tokens if (hits := known[t]) for hit in hits}
+        for t in new:
+            if len(t) > LONGEST_REMEMBERED:
+                del known[t]
         return found.union(self.model.find(self.restorer.spaced(low)))
 
 
@@ -261,19 +354,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         counts[gram] = n
     letters = log_probabilities(counts.reshape([CLASSES] * ORDER))
     training = training_texts(docs, labels, sample)
-    rows = training.mapInArrow(_evidence_rows(letters), "word string, around long, clean long")
-    evidence = saved(rows.groupBy("word").agg(F.countDistinct("around").alias("toxic"), F.sum("clean").alias("clean")))
-    words, toxic, clean = evidence.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("clean")).first()
+    rows = saved(training.mapInArrow(_evidence_rows(letters), "word string, around long, whole long, clean long"))
+    seen = F.least(F.countDistinct("around"), F.countDistinct("whole")).alias("toxic")
+    evidence = saved(rows.groupBy("word").agg(seen, F.sum("clean").alias("clean")))
+    whole, kind = evidence.where(~F.col("word").rlike("[*+]$")), F.substring("word", -1, 1)
+    letters_of = lambda k: F.substring("word", 1, k)
+    stems = F.array(*(F.when(F.length("word") > k, F.concat(letters_of(k), F.lit("*"))) for k in range(STEM[0], STEM[1] + 1)))
+    families = whole.where("toxic > 0").select(F.explode(stems).alias("word")).groupBy("word").count().where(F.col("count") >= FAMILY)
+    tested = whole.union(evidence.where(kind == "*").join(families, "word", "left_semi"))
+    words, toxic, clean = whole.agg(F.count(F.lit(1)), F.sum("toxic"), F.sum("clean")).first()
     lexicon = {}
     if toxic:
         chance = toxic / (toxic + clean)
         n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
         rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - chance))).otherwise(0.0) if chance < 1 else F.lit(0.0)
         strength = n * (share * F.log(share / chance) + rest)
-        strong = evidence.where((share >= MIN_SHARE) & (strength >= math.log(words) - math.log(EXPECTED_FALSE)))
+        strong = tested.where((share >= MIN_SHARE) & (strength >= math.log(words) - math.log(EXPECTED_FALSE)))
         weight = ((F.col("toxic") + 0.1) / (n + 1.0)).alias("weight")
         best = strong.orderBy(F.desc(strength), "word").limit(LEXICON).select("word", weight)
         lexicon = {r["word"]: r["weight"] for r in best.collect()}
+        roots = [w + "+" for w in lexicon if len(w) >= ROOT and w[-1] != "*"]
+        against = {r["word"] for r in evidence.where(F.col("word").isin(roots) & (share < MIN_SHARE)).select("word").collect()}
+        lexicon |= {w: lexicon[w[:-1]] for w in roots if w not in against}
 
     def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(Model(letters, lexicon, 0.0))

@@ -35,16 +35,13 @@ def test_counts_cover_every_whole_text(spark):
     want: dict[int, int] = {}
     for _, text, _ in DOCS:
         k = [0, 0, 0]
-        for c in [*map(toxicity.letter_class, "".join(x.lower() if len(x.lower()) == 1 else x for x in text or "")), 0]:
-            c = c if c else 0
+        for c in [*map(toxicity.letter_class, (text or "").lower()), 0]:
             if c or k[-1]:
                 k.append(c)
         for i in range(len(k) - 3):
             g = ((k[i] * 28 + k[i + 1]) * 28 + k[i + 2]) * 28 + k[i + 3]
             want[g] = want.get(g, 0) + 1
-    ascii_only = {g for g in want if 27 not in np.unravel_index(g, [28] * 4)}
-    odd = [g for g in ascii_only if counts.get(g, 0) != want[g]]
-    assert sum(abs(counts.get(g, 0) - want[g]) for g in odd) <= 200  # other alphabets count as letters to the scan
+    assert counts == want
 
 
 def test_probabilities_sum_to_one():
@@ -59,6 +56,78 @@ def test_restoration(fitted, written):
     assert restorer.words(written.lower()) == ("idiot",)
 
 
+def readings(observed, model):
+    """Every reading of `observed`, with its score."""
+    out = {("", 0.0)}
+    last, run = "", 0
+    for ch in observed:
+        run, last = (run + 1 if ch == last else 1), ch
+        plain = toxicity.letter_class(ch)
+        letters = [(ch, 0.0)] if plain else [(x, toxicity.SUBSTITUTED) for x in toxicity.LOOKALIKES.get(ch, "")]
+        repeated = toxicity.REPEATED_AGAIN if run > 2 else toxicity.REPEATED
+        new = set()
+        for text, score in out:
+            for x, cost in letters:
+                new.add((text + x, score - cost))
+                if text[-1:] == x:
+                    new.add((text, score - cost - repeated))
+            if not plain:
+                new.add((text, score - (0.1 if ch == " " else toxicity.SIGN_DROPPED if letters else toxicity.DROPPED)))
+                if text and text[-1] != " ":
+                    new.add((text + " ", score - toxicity.PARTED))
+        out = new
+
+    def likely(text):
+        classes = [0, 0, 0, *map(toxicity.letter_class, text), 0]
+        return sum(model[((a * 28 + b) * 28 + c) * 28 + d] for a, b, c, d in zip(classes, classes[1:], classes[2:], classes[3:]))  # noqa: B905
+
+    return {(text, score + likely(text)) for text, score in out}
+
+
+def test_restoration_is_the_best_of_all_readings(fitted):
+    restorer, r = toxicity.Restorer(fitted[2].letters), random.Random(5)
+    model = np.frombuffer(restorer.model, np.float32).astype(float)
+    tokens = ["".join(r.choice("aeiostdnéé10!6@-. $") for _ in range(r.randrange(1, 8))) for _ in range(300)] + ["1d1!0t", "!!11||", "éé1é", "a-a--b"]
+    for token in tokens:
+        scores = {}
+        for text, score in readings(token, model):
+            scores[text.strip()] = max(score, scores.get(text.strip(), -1e9))
+        best = max(scores.values())
+        steps = restorer._steps(token)
+        for way in (restorer.restore(token), restorer._few(steps).strip(), restorer._many(steps).strip()):
+            assert scores[way] > best - 1e-3, (token, way, max(scores, key=scores.get))
+
+
+def test_long_runs_of_signs_are_read_alike_by_both_ways(fitted, monkeypatch):
+    restorer, r = toxicity.Restorer(fitted[2].letters), random.Random(6)
+    monkeypatch.setattr(toxicity, "SETTLED", 8)
+    for _ in range(20):
+        steps = restorer._steps("".join(r.choice("aeist10!6@-") for _ in range(120)))
+        assert restorer._few(steps) == restorer._many(steps)
+
+
+@pytest.mark.parametrize("text", ["Please travel by train to the traditional market and work with the world", "The cloud closed the clock", "a trader transports trays", "An idea worth more than words"])
+def test_ordinary_words_that_begin_alike_are_clean(spark, text):
+    r, rows, labels = random.Random(2), [], []
+    for i in range(900):
+        w, bad = prose(i, 60).split(), r.random() < 0.3
+        if bad:
+            for _ in range(4):
+                w.insert(r.randrange(len(w)), r.choice(["worthless", "trash", "clown", "scum", "idiot", "moron"]))
+        rows.append((i, " ".join(w), "a"))
+        labels.append((i, 1, int(bad)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    find = toxicity.Finder(model)
+    assert model.score(find(text)) < 0.3 < model.score(find("what idiots"))
+
+
+def test_one_long_toxic_text_teaches_little(spark):
+    rows = [(i, prose(i, 60) + (f" idiot {prose(10_000 + i, 9)}" if i % 3 == 0 else ""), "a") for i in range(300)] + [(1000, " ".join(f"{a} zzyx {b}" for a, b in zip(prose(1, 900).split(), prose(2, 900).split(), strict=True)), "a")]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(300)] + [(1000, 1, 1)]
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert "idiot" in model.lexicon and not any(w.startswith("zzyx") or w.startswith("zyx") for w in model.lexicon)
+
+
 def test_spaced_letters_are_joined_and_parted(fitted):
     restorer = toxicity.Restorer(fitted[2].letters)
     assert restorer.spaced("it is i d i o t  m 0 r o n and a b") == ["idiot", "moron"]
