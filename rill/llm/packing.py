@@ -29,8 +29,8 @@ from rill.llm.common import per_worker, saved
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a shard on average; a task holds about a hundred bytes for each.
 SHARD = 20_000
-#: Chunks whose ids a worker remembers, in each of two generations.
-REMEMBERED = 150_000
+#: Chunks whose ids a worker remembers, in each of two generations, and the sum of their characters.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 3_000_000
 #: A round that frees less than this share of the sequences it was given is the last.
 MIN_FREED = 0.002
 
@@ -43,14 +43,15 @@ class Remembered(dict):
 
     def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.chars = make, most, {}, 0
 
     def learn(self, keys: set[str]) -> None:
         new = keys.difference(self)
-        if len(self) + len(new) > self.most:
-            self.old = dict(self)
+        self.chars += sum(map(len, new))
+        if len(self) + len(new) > self.most or self.chars > REMEMBERED_CHARS:
+            self.old = dict(self) if self.chars <= 2 * REMEMBERED_CHARS else {}
             self.clear()
-            new = keys
+            new, self.chars = keys, sum(map(len, keys))
         known = {k: v for k in new if (v := self.old.get(k)) is not None}
         self.update(known)
         if missing := list(new.difference(known)):

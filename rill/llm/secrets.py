@@ -32,7 +32,8 @@ MIXED_RATIO, LETTERS_RATIO, LONG_RATIO, LONG_LETTERS = 1.7, 1.55, 1.7, 24
 MIN_REST = 6
 DIGEST_LENGTHS = {32, 40, 56, 64, 96, 128}
 MASK = "[SECRET]"
-REMEMBERED = 100_000
+#: Strings whose verdicts a worker remembers, and the longest of them.
+REMEMBERED, LONGEST_REMEMBERED = 100_000, 256
 
 
 def _either_case(word: str) -> str:
@@ -96,9 +97,10 @@ class Scanner:
         if found is None:
             known = is_known_identifier(s) or not any(map(str.isalpha, s))
             found = not known and len(s) <= most_ratio(s) * len(self.encoding.encode_ordinary(s))
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[s] = found
+            if len(s) <= LONGEST_REMEMBERED:
+                if len(self.known) >= REMEMBERED:
+                    self.known.clear()
+                self.known[s] = found
         return found
 
     def spans(self, text: str) -> list[Span]:

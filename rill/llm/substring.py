@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from rill.llm.common import dropped, per_worker, saved
 
 WINDOW, ANCHOR = 35, 12
-REMEMBERED = 500_000
+#: Words whose hashes a worker remembers, and the longest of them in bytes.
+REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 BASE = 0x9E3779B97F4A7C15
 KEY = ("doc_id", "text_hash")
 
@@ -48,7 +49,11 @@ class WordHasher:
             new = set(words)
         for w in new:
             known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        for w in new:
+            if len(w) > LONGEST_REMEMBERED:
+                del known[w]
+        return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -114,11 +119,12 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         row = 0
         while row < b.num_rows:
-            block, sizes, first = [], [], row
-            while row < b.num_rows and sum(sizes) < 1_000_000:
+            block, sizes, first, total = [], [], row, 0
+            while row < b.num_rows and total < 1_000_000:
                 words = (b.column(2)[row].as_py() or "").encode().split()
                 block.append(hasher(words))
                 sizes.append(len(words))
+                total += len(words)
                 row += 1
             ends = np.cumsum(sizes)
             anchor, piece, s, n = path_pieces(np.concatenate(block), ends)
