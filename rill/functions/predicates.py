@@ -27,6 +27,15 @@ def char_prefix_eq(column: str, value: str) -> Column:
     return F.col(column).startswith(value)
 
 
+def char_prefix_gt(column: str, value: str) -> Column:
+    """CHAR order over the bytes of the constant's length."""
+    return F.substring(F.encode(column, "UTF-8"), 1, len(value.encode())) > F.encode(F.lit(value), "UTF-8")
+
+
+def char_prefix_lt(column: str, value: str) -> Column:
+    return F.substring(F.encode(column, "UTF-8"), 1, len(value.encode())) < F.encode(F.lit(value), "UTF-8")
+
+
 def like(column: str, pattern: str) -> Column:
     return F.col(column).like(pattern)
 

@@ -32,16 +32,40 @@ def map_values_python(df: DataFrame, column: str, function: Callable[[pa.Array],
     return df.select(F.col(column).cast("long")).mapInArrow(run, f"`{column}` long")
 
 
-def combine_partitions_python(df: DataFrame, column: str, function: Callable[[pa.Array], int]) -> DataFrame:
-    """One value for each Arrow batch, to be reduced further by the caller."""
+def combine_partitions_python(df: DataFrame, column: str, function: Callable[[pa.ChunkedArray], int]) -> DataFrame:
+    """One value for each partition, to be reduced further by the caller; a partition's values are held by its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_pydict({column: pa.array([function(b.column(0))], pa.int64())})
+        values = pa.chunked_array([b.column(0) for b in batches], pa.int64())
+        yield pa.RecordBatch.from_pydict({column: pa.array([function(values)], pa.int64())})
 
     return df.select(F.col(column).cast("long")).mapInArrow(run, f"`{column}` long")
 
 
+class Vertex:
+    """A custom operator: a task makes one, feeds it its batches, and ends it."""
+
+    def batch(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Rows that a batch gives at once."""
+        return iter(())
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        """Rows that are given when the task's input is at its end."""
+        return iter(())
+
+
+def apply_vertex(df: DataFrame, make: Callable[[], Vertex], schema: str) -> DataFrame:
+    """`df` through a custom operator, one for each partition; batch and streaming alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vertex = make()
+        for b in batches:
+            yield from vertex.batch(b)
+        yield from vertex.end()
+
+    return df.mapInArrow(run, schema)
+
+
 def reduce_per_partition(df: DataFrame, column: str, name: str = "total") -> DataFrame:
     """A sum for each partition, as far as partitions go without an exchange of values."""
     return df.groupBy(F.spark_partition_id().alias("partition")).agg(F.sum(F.col(column).cast("long")).alias(name))

@@ -7,7 +7,7 @@ output of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rill.functions.scalar import epoch_millis, window_id
@@ -63,9 +63,9 @@ def typed_counts(joined: DataFrame) -> DataFrame:
     return joined.groupBy("wid", "c_id", type_number().alias("typ")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def click_view_ratio(joined: DataFrame) -> DataFrame:
+def click_view_ratio(joined: DataFrame, *more_keys: Column) -> DataFrame:
     """Clicks over views of a window and campaign that has both: one pass, no join of two aggregates."""
-    counts = joined.groupBy("wid", "c_id").agg(
+    counts = joined.groupBy("wid", "c_id", *more_keys).agg(
         F.count_if(F.col("event_type") == "click").alias("clicks"), F.count_if(F.col("event_type") == "view").alias("views")
     )
     both = counts.where((F.col("clicks") > 0) & (F.col("views") > 0))
@@ -83,8 +83,43 @@ def window_counts(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("met"))
 
 
-def latency_seconds(counts: DataFrame, now: Column | None = None) -> DataFrame:
-    """Age of each window's newest event; for live reports, not for repeatable results."""
-    now = F.current_timestamp() if now is None else now
-    newest = F.col("max_event_time").cast("timestamp").cast("double")
-    return counts.withColumn("latency", now.cast("double") - newest)
+def latency_millis(counts: DataFrame, now: Column | None = None) -> DataFrame:
+    """Age of each row's newest event; by the clock for live reports, or at a given time for repeatable results."""
+    now = F.localtimestamp() if now is None else now
+    return counts.withColumn("latency", epoch_millis(now) - epoch_millis("max_event_time"))
+
+
+def collect_latency(counts: DataFrame) -> DataFrame:
+    """Per window the sum of counts, its number of rows and their mean latency (of rows with `latency`)."""
+    return counts.groupBy("wid").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("n"), F.avg("latency").alias("latency"))
+
+
+def running_latency(windows: DataFrame) -> DataFrame:
+    """The mean latency of all windows up to each: a row for each window, which windows' aggregate bounds, in order."""
+    order = Window.orderBy("wid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return windows.withColumn("avg_latency", F.avg("latency").over(order))
+
+
+def ten_second_chain(events: DataFrame, mapping: DataFrame, span: int = 10, lateness: str = "10 seconds") -> DataFrame:
+    """The whole chain in one stream: clicks of `events` (event_time in ms, event_type, ad_id) by campaign and window,
+    and of each complete window the clicks, campaigns, and mean latency in ms from a campaign's newest click to the
+    window's end.
+
+    A window is complete when each of its seconds has sent a message, whatever the message's events are, so seconds
+    are counted on all events. State is dropped when the watermark passes a window. Of the mapping (ad_id, c_id) the
+    smallest campaign counts.
+    """
+    one = mapping.groupBy("ad_id").agg(F.min("c_id").alias("c_id"))
+    timed = events.withColumn("at", F.timestamp_millis("event_time")).withWatermark("at", lateness)
+    joined = timed.join(one, "ad_id", "left")
+    counts = (F.col("event_type") == "click") & F.col("c_id").isNotNull()
+    second = F.pow(F.lit(2), F.floor(F.col("event_time") / 1000) % span).cast("long")
+    partial = joined.groupBy(F.window("at", f"{span} seconds").alias("w"), "c_id").agg(
+        F.count_if(counts).alias("cnt"), F.max(F.when(counts, F.col("event_time"))).alias("met"), F.bit_or(second).alias("seen")
+    )
+    late = F.unix_millis("w.end") - F.col("met")
+    dated = partial.withColumn("late", late).withColumn("wid", F.floor(F.unix_millis("w.start") / (span * 1000)))
+    full = dated.groupBy(F.window(F.window_time("w"), f"{span} seconds").alias("v"), "wid").agg(
+        F.sum("cnt").alias("cnt"), F.count_if(F.col("cnt") > 0).alias("n"), F.avg("late").alias("latency"), F.bit_or("seen").alias("seen")
+    )
+    return full.where(F.bit_count("seen") == span).select("wid", "cnt", "n", "latency")

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rill.functions import predicates as P
-from rill.functions.scalar import campaign_number, money_sum, times_ten
+from rill.functions.scalar import campaign_number, epoch_millis, money_sum, times_ten
 from rill.operators import exchange, mapreduce, relational
 from rill.plans import adevents as A
 from rill.plans import completeness, sanity, tpch
 from rill.session import shared_folder
-from rill.sources import fixedwidth
+from rill.sources import adgen, codecs, fixedwidth, textfiles
 from rill.sources.tables import stream_table, table
 from rill.streaming import counted, run
 
@@ -57,6 +57,12 @@ def char_prefix(spark, d):
     return relational.select(table(spark, d, "region"), [P.char_prefix_eq("r_name", "ASIA")])
 
 
+@query("char_prefix_order", "select n_nationkey,n_name from nation where substring(n_name,1,8)>'NATION_1' and substring(n_name,1,8)<'NATION_4'")
+def char_prefix_order(spark, d):
+    band = [P.char_prefix_gt("n_name", "NATION_1"), P.char_prefix_lt("n_name", "NATION_4")]
+    return relational.select_project(table(spark, d, "nation"), band, ["n_nationkey", "n_name"])
+
+
 @query("like", "select p_partkey,p_name from part where p_name like '%ring%'")
 def like(spark, d):
     return relational.select_project(table(spark, d, "part"), [P.like("p_name", "%ring%")], ["p_partkey", "p_name"])
@@ -261,9 +267,48 @@ def merge_inputs(spark, d):
     return both.groupBy(F.col("n_regionkey").alias("k")).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-@query("content_hash")
+@query("content_hash", "select s_suppkey,cast('0x'||substring(md5(s_suppkey||chr(31)||s_name),1,15) as bigint) h from supplier")
 def content_hash(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", exchange.content_hash("s_suppkey", "s_name").alias("h"))
+    return table(spark, d, "supplier").select("s_suppkey", exchange.content_digest("s_suppkey", "s_name").alias("h"))
+
+
+@query("sharded_parts", "select (s_suppkey+s_nationkey)%4 shard,count(*) cnt from supplier group by 1")
+def sharded_parts(spark, d):
+    """A folder of part files, each read by tasks of its own, and its rows sharded by key."""
+    layout, path = "s_suppkey i, s_nationkey i", f"{shared_folder(spark)}/supplier"
+    fixedwidth.write_fixed_width(exchange.round_robin(table(spark, d, "supplier"), 4), path, layout)
+    rows = exchange.hash_shard(fixedwidth.read_fixed_width(spark, path, layout), ["s_suppkey", "s_nationkey"], 4)
+    return rows.groupBy(exchange.shard_id(["s_suppkey", "s_nationkey"], 4).alias("shard")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query("export_sorted", "select c_custkey,c_nationkey,c_mktsegment from customer")
+def export_sorted(spark, d):
+    """Sorted ranges as fixed-width files, and back."""
+    layout, path = "c_custkey L, c_nationkey i, c_mktsegment c10", f"{shared_folder(spark)}/customer"
+    fixedwidth.export_sorted(table(spark, d, "customer"), path, layout, ["c_nationkey", "c_custkey"])
+    return fixedwidth.read_fixed_width(spark, path, layout)
+
+
+@query("custom_vertex", "select count(*) n,cast(sum(l_linenumber) as bigint) total from lineitem where l_linenumber>3")
+def custom_vertex(spark, d):
+    """A custom operator: each task filters its batches and gives one row at its end."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    class Kept(mapreduce.Vertex):
+        def __init__(self):
+            self.n = self.total = 0
+
+        def batch(self, batch):
+            kept = batch.column(0).filter(pc.greater(batch.column(0), 3))
+            self.n, self.total = self.n + len(kept), self.total + (pc.sum(kept).as_py() or 0)
+            return iter(())
+
+        def end(self):
+            yield pa.RecordBatch.from_pydict({"n": pa.array([self.n], pa.int64()), "total": pa.array([self.total], pa.int64())})
+
+    parts = mapreduce.apply_vertex(table(spark, d, "lineitem").select("l_linenumber"), Kept, "n long, total long")
+    return parts.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 # Ad events
@@ -286,6 +331,18 @@ def ysb_join(spark, d):
     return A.join_campaign(ysb_filter(spark, d), mapping).select("event_id", "ts", "c_id")
 
 
+@query(
+    "ysb_join_duplicates",
+    "select event_id,min(c_id) c_id from events join (select c_custkey a,c_nationkey c_id from customer union all"
+    " select c_custkey,24-c_nationkey from customer) on user_id=a where event_type='click' group by 1",
+)
+def ysb_join_duplicates(spark, d):
+    """Ads that are listed twice: the smallest campaign counts."""
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    twice = customers.union(customers.select("c_custkey", 24 - F.col("c_nationkey")))
+    return A.join_campaign(ysb_filter(spark, d), A.campaigns(twice)).select("event_id", "c_id")
+
+
 @query("ysb_partial", f"select {H} msg,{W} wid,c_nationkey c_id,count(*) cnt,max(ts) met from {EC} where event_type='click' group by 1,2,3")
 def ysb_partial(spark, d):
     return A.partial_counts(A.with_window(_joined(spark, d, "click"), A.HOUR_MS, "msg"))
@@ -309,6 +366,25 @@ def ysb_collector(spark, d):
     return A.collect_windows(ysb_full(spark, d))
 
 
+_LATE = f"select wid,c_id,cnt,max_event_time,epoch_us((select max(ts) from events))//1000-epoch_us(max_event_time)//1000 latency from ({_FULL})"
+
+
+def _late(spark, d, counts: DataFrame) -> DataFrame:
+    """Latency at the time of the newest event, which stands in for the clock."""
+    newest = table(spark, d, "events").agg(F.max("ts").alias("newest"))
+    return A.latency_millis(counts.crossJoin(F.broadcast(newest)), F.col("newest")).drop("newest")
+
+
+@query("ysb_latency", _LATE)
+def ysb_latency(spark, d):
+    return _late(spark, d, ysb_full(spark, d))
+
+
+@query("ysb_collector_latency", f"select wid,cast(sum(cnt) as bigint) cnt,count(*) n,avg(latency) latency from ({_LATE}) group by wid")
+def ysb_collector_latency(spark, d):
+    return A.collect_latency(ysb_latency(spark, d))
+
+
 @query("ysbm_split", "select event_type,event_id from events where event_type in ('click','view')")
 def ysbm_split(spark, d):
     parts = A.split_types(table(spark, d, "events").select("event_type", "event_id"), "click", "view")
@@ -357,6 +433,20 @@ def wa_count(spark, d):
     return A.window_counts(A.with_window(table(spark, d, "events")), "wid")
 
 
+@query("wa_ten_seconds", "select epoch_ms(ts)//10000 wid,count(*) cnt,max(ts) met from events group by 1")
+def wa_ten_seconds(spark, d):
+    return A.window_counts(A.with_window(table(spark, d, "events"), 10_000), "wid")
+
+
+_RUNNING = "(epoch_us((select max(ts) from events))//1000-epoch_us(met)//1000)"
+
+
+@query("wa_latency", f"select wid,{_RUNNING} latency,avg({_RUNNING}) over (order by wid) avg_latency from ({_WA})")
+def wa_latency(spark, d):
+    late = _late(spark, d, wa_count(spark, d).withColumnRenamed("met", "max_event_time"))
+    return A.running_latency(late).select("wid", "latency", "avg_latency")
+
+
 # Completeness, sanity, throughput
 
 _UNITS = f"select {W} wid,{H} h,user_id%2 p,count(*) n from events group by 1,2,3"
@@ -421,35 +511,116 @@ def fixed_width_roundtrip(spark, d):
     return fixedwidth.read_fixed_width(spark, path, layout, rows_per_task=10)
 
 
+@query("event_codecs", "select epoch_us(ts)//1000 event_time,event_type,cast(user_id as varchar) ad_id from events")
+def event_codecs(spark, d):
+    """Raw events in their message layout, and back."""
+    path, layout = f"{shared_folder(spark)}/events", codecs.LAYOUTS["event"]
+    events = table(spark, d, "events").select(epoch_millis("ts").alias("event_time"), "event_type", F.col("user_id").cast("string").alias("ad_id"))
+    fixedwidth.write_fixed_width(events.withColumn("userid_pageid_ipaddress", F.lit("u p 0.0.0.0")), path, layout)
+    return fixedwidth.read_fixed_width(spark, path, layout).select("event_time", "event_type", "ad_id")
+
+
+@query("message_codecs", f"select wid,c_id,cast(cnt as integer) count,epoch_us(max_event_time)//1000 event_time,1 \"type\" from ({_FULL})")
+def message_codecs(spark, d):
+    """Counts in the layout of typed results, and back."""
+    path, layout = f"{shared_folder(spark)}/full", codecs.LAYOUTS["full_typed"]
+    full = ysb_full(spark, d).select("wid", "c_id", F.col("cnt").alias("count"), epoch_millis("max_event_time").alias("event_time"), F.lit(A.CLICK).alias("type"))
+    fixedwidth.write_fixed_width(full, path, layout)
+    return fixedwidth.read_fixed_width(spark, path, layout)
+
+
+@query("dump_data", f"select epoch_us(ts)//1000 event_time,{W} w_id,event_type,cast(user_id as varchar) a_id from events")
+def dump_data(spark, d):
+    path = f"{shared_folder(spark)}/data"
+    events = A.with_window(table(spark, d, "events"), name="w_id").withColumn("event_time", epoch_millis("ts"))
+    textfiles.dump_data(events.withColumn("a_id", F.col("user_id").cast("string")), path)
+    return textfiles.read_tsv(spark, path, textfiles.DATA).select("event_time", "w_id", "event_type", "a_id")
+
+
+@query("dump_mappings", "select cast(c_custkey as varchar) a_id,cast(c_nationkey as bigint) c_id from customer")
+def dump_mappings(spark, d):
+    path = f"{shared_folder(spark)}/mappings"
+    mapping = A.campaigns(table(spark, d, "customer"))
+    textfiles.dump_mappings(mapping.select(F.col("ad_id").cast("string").alias("a_id"), "c_id"), path)
+    return textfiles.read_tsv(spark, path, textfiles.MAPPINGS)
+
+
+@query("dump_results", f"select wid w_id,cast(c_id as bigint) c_id,cnt count from ({_FULL})")
+def dump_results(spark, d):
+    path = f"{shared_folder(spark)}/results"
+    textfiles.dump_results(ysb_full(spark, d).select(F.col("wid").alias("w_id"), "c_id", F.col("cnt").alias("count")), path)
+    return textfiles.read_tsv(spark, path, textfiles.RESULTS)
+
+
 # Streams
 
 
-@query("stream_ysb", _FULL)
+def _by_day(events: DataFrame) -> DataFrame:
+    """Events with the start of their day as event time: a day is closed once a later one has come."""
+    return events.withColumn("at", F.timestamp_seconds(F.col("wid") * 86400)).withWatermark("at", "0 seconds")
+
+
+_CLOSED = f"wid < (select max({W}) from events where event_type in ("
+
+
+@query("stream_ysb", f"select * from ({_FULL}) where {_CLOSED}'click'))")
 def stream_ysb(spark, d):
-    return run.run_available_now(A.full_counts(_joined(spark, d, "click", stream=True)), "complete")
+    """Append mode: a window comes out, and its state goes, once the watermark has passed its end."""
+    joined = _by_day(_joined(spark, d, "click", stream=True))
+    counts = joined.groupBy(F.window("at", "1 day"), "wid", "c_id").agg(F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("max_event_time"))
+    return run.run_available_now(counts.select("wid", "c_id", "cnt", "max_event_time"), "append")
 
 
-@query("stream_ysbm", _RATIO)
+@query("stream_ysbm", f"select * from ({_RATIO}) where {_CLOSED}'click','view'))")
 def stream_ysbm(spark, d):
-    return run.run_available_now(A.click_view_ratio(_joined(spark, d, "click", "view", stream=True)), "complete")
+    joined = _by_day(_joined(spark, d, "click", "view", stream=True))
+    ratio = A.click_view_ratio(joined, F.window("at", "1 day"))
+    return run.run_available_now(ratio.select("wid", "c_id", "clicks", "views", "ratio"), "append")
 
 
-@query("stream_wa", f"select * from ({_WA}) where (wid+1)*86400000 <= (select max(epoch_ms(ts)) from events)")
+@query("stream_wa", f"select * from ({_WA}) where wid < (select max({W}) from events)")
 def stream_wa(spark, d):
-    """Append mode: a window comes out once the watermark has passed its end."""
-    events = stream_table(spark, d, "events").select("ts")
-    timed = A.with_window(events).withColumn("at", F.timestamp_seconds(F.col("wid") * 86400))
-    counts = (
-        timed.withWatermark("at", "0 seconds").groupBy(F.window("at", "1 day"), "wid")
-        .agg(F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("met"))
-    )
+    timed = _by_day(A.with_window(stream_table(spark, d, "events").select("ts")))
+    counts = timed.groupBy(F.window("at", "1 day"), "wid").agg(F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("met"))
     return run.run_available_now(counts.select("wid", "cnt", "met"), "append")
 
 
+@query("stream_map_x100", "select l_linenumber*100 v from lineitem")
+def stream_map_x100(spark, d):
+    """Integers from fixed-width files as a stream, through two maps, into fixed-width files."""
+    source, sink = (f"{shared_folder(spark)}/{x}" for x in ("in", "out"))
+    fixedwidth.write_fixed_width(table(spark, d, "lineitem").select(F.col("l_linenumber").alias("v")), source, "v i")
+    mapped = mapreduce.map_values(fixedwidth.stream_fixed_width(spark, source, "v i"), "v", times_ten, times_ten)
+    run.run_to_files(mapped, sink, "v i")
+    return fixedwidth.read_fixed_width(spark, sink, "v i")
+
+
+_GENERATED = (
+    "select i,i//200*1000+999-i%1000 event_time,(((((i+1)*48271+7001)%2147483647)*69621%2147483647)>>4)%3 typ,"
+    "(((((i+1)*48271+7002)%2147483647)*69621%2147483647)>>4)%1000 ad from range(15000) t(i)"
+)
+
+
+@query(
+    "stream_ysb_chain",
+    "select wid,cast(sum(cnt) as bigint) cnt,count(*) n,avg((wid+1)*10000-met) latency from (select event_time//10000 wid,ad%100 c_id,count(*) cnt,"
+    f"max(event_time) met from ({_GENERATED}) where typ=0 group by 1,2) where wid<6 group by wid",
+)
+def stream_ysb_chain(spark, d):
+    """75 generated seconds from the source to the collector: the six whole windows of ten seconds come out."""
+    path = f"{shared_folder(spark)}/events"
+    generated = adgen.generate_events(spark, 75, 200)
+    for part in range(0, 75_000, 15_000):  # files in order of time
+        generated.where(F.col("event_time").between(part, part + 14_999)).coalesce(1).write.mode("append").parquet(path)
+    events = spark.readStream.schema("event_time long, event_type string, ad_id long").option("maxFilesPerTrigger", 1).parquet(path)
+    mapping = spark.range(1000).select(F.col("id").alias("ad_id"), (F.col("id") % 100).alias("c_id"))
+    return run.run_available_now(A.ten_second_chain(events, mapping), "append")
+
+
 @query("stream_complete_windows", _COMPLETE)
 def stream_complete_windows(spark, d):
     path = f"{shared_folder(spark)}/units"
     units = _units(spark, d)
     units.write.parquet(path)
     stream = spark.readStream.schema(units.schema).option("maxFilesPerTrigger", 2).parquet(path)
-    return run.run_available_now(counted.close_counted(stream), "append")
+    return run.run_available_now(counted.close_counted(stream, lateness="40 days"), "append")  # files are in no order of time

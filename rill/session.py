@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,10 +31,16 @@ _OWN: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh path below `spark.checkpoint.dir`; only where that is unset (tests), below a local folder of our own."""
+    """A fresh path below `spark.checkpoint.dir`; only where that is unset and the master is local (tests), below a
+    folder of our own, which is removed at the end. A cluster without the setting is an error."""
     root = spark.conf.get("spark.checkpoint.dir", "")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
-        root = _OWN.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="rill-")
-        _OWN[app] = root
+        if app not in _OWN:
+            folder = tempfile.mkdtemp(prefix="rill-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _OWN[app] = "file://" + folder
+        root = _OWN[app]
     return f"{root.rstrip('/')}/rill-{uuid.uuid4().hex}"

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 EVENT_TYPES = ("click", "view", "purchase")
 
 
+#: Two multipliers of Lehmer's generator modulo the prime 2^31 - 1.
+MODULUS, FIRST, SECOND = 2_147_483_647, 48_271, 69_621
+
+
+def draw(index: Column, salt: int, n: int, seed: int) -> Column:
+    """A number from 0 to n - 1 of an index, by integer arithmetic that any engine can repeat."""
+    once = ((F.pmod(index, F.lit(MODULUS)) + F.lit(1)) * FIRST + F.lit(seed * 1_000 + salt)) % MODULUS
+    return F.shiftright(once * SECOND % MODULUS, 4) % n
+
+
 def _event(index: Column, second: Column, ads: int, seed: int) -> list[Column]:
-    """Within a second times fall from .999 to .000; type and ad are uniform, drawn from a hash of the index."""
-    draw = lambda salt, n: F.pmod(F.xxhash64(index, F.lit(seed), F.lit(salt)), F.lit(n))
+    """Within a second times fall from .999 to .000; type and ad are uniform."""
     return [
         (second * 1000 + 999 - index % 1000).alias("event_time"),
-        F.element_at(F.array(*map(F.lit, EVENT_TYPES)), (draw("type", 3) + 1).cast("int")).alias("event_type"),
-        draw("ad", ads).alias("ad_id"),
+        F.element_at(F.array(*map(F.lit, EVENT_TYPES)), (draw(index, 1, 3, seed) + 1).cast("int")).alias("event_type"),
+        draw(index, 2, ads, seed).alias("ad_id"),
     ]
 
 

@@ -35,3 +35,30 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_jdbc(spark: SparkSession, url: str, name: str, **options: str) -> DataFrame:
     """A table of a database; pass partitionColumn, lowerBound, upperBound and numPartitions to read in parallel."""
     return spark.read.format("jdbc").options(url=url, dbtable=name, **options).load()
+
+
+#: Columns of the dumps that a replay check reads.
+DATA = "event_time long, w_id long, rank int, iteration int, event_type string, a_id string"
+MAPPINGS = "a_id string, c_id long"
+RESULTS = "w_id long, c_id long, count long"
+
+
+def _columns(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def dump_data(events: DataFrame, path: str) -> None:
+    """Raw events (event_time, w_id, event_type, a_id), with the task that wrote each and its number there."""
+    number = F.monotonically_increasing_id()
+    numbered = events.withColumn("rank", F.shiftright(number, 33).cast("int")).withColumn("iteration", number.bitwiseAND(F.lit((1 << 33) - 1)).cast("int"))
+    write_tsv(numbered.select(*_columns(DATA)), path)
+
+
+def dump_mappings(mapping: DataFrame, path: str) -> None:
+    """Ads and their campaigns' numbers."""
+    write_tsv(mapping.select(*_columns(MAPPINGS)), path)
+
+
+def dump_results(results: DataFrame, path: str) -> None:
+    """Counts of windows and campaigns."""
+    write_tsv(results.select(*_columns(RESULTS)), path)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rill.session import shared_folder
+from rill.sources.fixedwidth import FixedWidthSource, Layout
 
 
 def run_available_now(stream: DataFrame, mode: str, state_partitions: int = 8) -> DataFrame:
@@ -36,6 +38,15 @@ def run_available_now(stream: DataFrame, mode: str, state_partitions: int = 8) -
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_to_files(stream: DataFrame, path: str, layout: str) -> None:
+    """Process all available input into fixed-width files, each batch's once it is whole."""
+    spark = stream.sparkSession
+    spark.dataSource.register(FixedWidthSource)
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in Layout.parse(layout).schema]
+    writer = stream.select(*columns).writeStream.format("fixedwidth").option("layout", layout).option("path", path)
+    writer.option("checkpointLocation", f"{shared_folder(spark)}/log").trigger(availableNow=True).start().awaitTermination()
+
+
 def progress_rows(spark: SparkSession, query) -> DataFrame:
     """Input and processing rate of each finished batch."""
     rows = [(p["batchId"], p["numInputRows"], p.get("processedRowsPerSecond")) for p in query.recentProgress]

@@ -16,6 +16,8 @@ def test_conditions_follow_sql_on_nulls(spark):
     assert keep(P.eq("s", "ASIA")) == [1]
     assert keep(P.char_prefix_eq("s", "ASIA")) == [1, 5]
     assert keep(P.like("s", "%SI_%")) == [1, 5]
+    assert keep(P.char_prefix_gt("s", "ASIA")) == [9] and keep(P.char_prefix_gt("s", "ASH")) == [1, 5, 9]
+    assert keep(P.char_prefix_lt("s", "ASIB")) == [1, 5] and keep(P.char_prefix_lt("s", "ASIA")) == []
     assert keep(P.all_of([P.gt("a", 1), P.lt("a", 9)])) == [5]
     assert df.where(P.all_of([])).count() == 4
 
@@ -64,3 +66,18 @@ def test_join_of_frames_with_equal_names_and_nulls(spark):
     b = spark.createDataFrame([(1, "p"), (1, "q"), (None, "r")], "k int, v string")
     got = relational.equi_join(a, b, [("k", "k")], ["k", "v"], ["v"]).collect()
     assert sorted((r[1], r[2]) for r in got) == [("x", "p"), ("x", "q"), ("y", "p"), ("y", "q")]
+
+
+def test_sorts_are_in_order(spark):
+    df = spark.createDataFrame([(3, "b"), (1, "c"), (1, "a"), (None, "z")], "k int, s string")
+    assert [tuple(r) for r in relational.sort_by(df, ["k", "s"]).collect()] == [(None, "z"), (1, "a"), (1, "c"), (3, "b")]
+    assert [r.s for r in relational.top_n(df, ["s"], 2).collect()] == ["a", "b"]
+
+
+def test_a_partition_is_reduced_as_a_whole(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        df = spark.range(20).coalesce(1).withColumnRenamed("id", "v")
+        assert [r.v for r in mapreduce.combine_partitions_python(df, "v", len).collect()] == [20]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
