@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def close_counted(units: DataFrame, span_ms: int = 86_400_000, lateness: str = "1 day") -> DataFrame:
+def close_counted(units: DataFrame, span_ms: int = 86_400_000, lateness: str = "2 days") -> DataFrame:
     """`units` is a stream of rows (wid, n, num, den), windows of `span_ms`; the output has each complete window once.
 
-    `lateness` is how far behind the newest window marks may start that still count.
+    Marks of a window that starts `lateness` before the newest one, or earlier, no longer count.
     """
 
     def update(key: tuple, blocks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

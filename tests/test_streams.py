@@ -34,13 +34,13 @@ def test_window_closes_over_several_batches_and_stays_closed(spark, tmp_path):
 
 def test_state_of_passed_windows_is_removed(spark, tmp_path):
     schema = "wid long, n long, num int, den int"
-    for i in range(12):  # each file opens a window, and closes the one before
+    for i in range(10, 22):  # each file opens a window, and closes the one before
         spark.createDataFrame([(i, 5, 1, 2), (i - 1, 6, 1, 2)], schema).coalesce(1).write.parquet(f"{tmp_path}/u/{i:02d}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/u/*")
     closed = counted.close_counted(stream, 1000, "2 seconds")
     query = closed.writeStream.format("memory").queryName("rill_closed").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {r.wid for r in spark.table("rill_closed").collect()} == set(range(11))
+    assert {r.wid for r in spark.table("rill_closed").collect()} == set(range(10, 21))
     kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
     assert max(kept) <= 7 and kept[-1] < 7
 
