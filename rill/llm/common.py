@@ -53,12 +53,13 @@ def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     return placed.join(F.broadcast(starts), part).withColumn(name, F.col(name) + F.col(at)).drop(at, part)
 
 
-def dropped(df: DataFrame) -> None:
-    """Remove the files of a frame that `saved` made, once nothing reads it any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def dropped(*frames: DataFrame) -> None:
+    """Remove the files of frames that `saved` made, once nothing reads them any more."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def per_worker(key: tuple, make):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rill.llm.common import saved
+from rill.llm.common import dropped, saved
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,11 +30,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         of_a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         of_b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         named = left.join(of_a, "a").join(of_b, "b").where("ra <> rb")
-        left = saved(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        former, left = left, saved(named.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        dropped(former, picks)
     if not rounds:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = rounds.pop()
     while rounds:
         later = out.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        out = saved(rounds.pop().join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+        round_, former = rounds.pop(), out
+        out = saved(round_.join(later, "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+        dropped(former, round_)
     return out

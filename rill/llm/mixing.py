@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rill.llm.common import numbered, saved, words
+from rill.llm.common import dropped, numbered, saved, words
 
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 7
 #: Documents in a part of a source on average; the longest block; blocks that an average source is to have.
@@ -125,6 +125,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
         salt = F.pmod(F.xxhash64("rill_place"), F.ceil(F.col("n") / most))
         order = F.when(F.col("n").isNull(), F.col("rill_order")).otherwise(F.xxhash64("rill_order", salt))
         sized = saved(salted.withColumn("rill_order", order).drop("n", "rill_place"))
+        dropped(narrow)
         narrow = _narrow(sized)
     planned = saved(plan_sources(narrow.groupBy("source").agg(F.sum("rill_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))))
     same = lambda a, b: F.col(a).cast("string").eqNullSafe(F.col(b))
@@ -136,7 +137,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     source = planned.select(F.struct("*").alias("rill_plan"))
     placed = sized.join(source, same("source", "rill_plan.source"))
     placed = placed.withColumn("rill_no", F.col("rill_plan.source_no")).withColumn("rill_part", _part("rill_plan.parts"))
-    met = placed.join(saved(quotas), ["rill_no", "rill_part"])
+    kept = saved(quotas)
+    dropped(narrow)
+    met = placed.join(kept, ["rill_no", "rill_part"])
     ahead = F.sum("rill_size").over(
         Window.partitionBy("rill_no", "rill_part").orderBy("rill_order", "rill_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("rill_size")

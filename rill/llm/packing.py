@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rill.llm.common import per_worker, saved
+from rill.llm.common import dropped, per_worker, saved
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces in a shard on average; a task holds about a hundred bytes for each.
@@ -272,4 +272,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
     """Each piece of each row of `docs` (doc_id, text) and its place; null ids and repeated rows are kept."""
-    return pack(saved(tokenized_pieces(docs, vocabulary, capacity)), capacity)
+    pieces = saved(tokenized_pieces(docs, vocabulary, capacity))
+    packed = pack(pieces, capacity)
+    dropped(pieces)
+    return packed

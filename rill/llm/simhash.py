@@ -128,6 +128,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     printed = saved(docs.withColumn("rill_fp", F.arrow_udf(run, "long")(F.col("text").cast("string"))))
     prints = printed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("rill_fp").alias("fp"))
     key = lambda i, fp: F.struct(F.isnull(i).alias("none"), i.alias("doc_id"), F.col(fp).alias("fp"))  # noqa: E731  (a null is equal within a struct)
-    firsts = components(prints).groupBy("root").agg(F.min(key(F.col("first_id"), "fp")).alias("rill_key")).select("rill_key")
+    firsts = saved(components(prints).groupBy("root").agg(F.min(key(F.col("first_id"), "fp")).alias("rill_key")).select("rill_key"))
     keyed = printed.withColumn("rill_key", key(F.col("doc_id").cast("long"), "rill_fp"))
-    return keyed.join(firsts, "rill_key", "left_semi").dropDuplicates(["rill_key"]).drop("rill_key", "rill_fp")
+    kept = keyed.join(firsts, "rill_key", "left_semi")
+    often = prints.groupBy(key(F.col("doc_id"), "fp").alias("rill_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    repeated = saved(often.join(firsts, "rill_key", "left_semi").select("rill_key"))
+    if not repeated.isEmpty():  # only rows that share id and fingerprint are compared
+        one = kept.join(repeated, "rill_key", "left_semi").dropDuplicates(["rill_key"])
+        kept = kept.join(repeated, "rill_key", "left_anti").unionByName(one)
+    return kept.drop("rill_key", "rill_fp")

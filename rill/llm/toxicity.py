@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rill.llm.common import per_worker, saved
+from rill.llm.common import dropped, per_worker, saved
 
 SAMPLE, LEXICON = 8_000, 2_000
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
@@ -376,6 +376,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         roots = [w + "+" for w in lexicon if len(w) >= ROOT and w[-1] != "*"]
         against = {r["word"] for r in evidence.where(F.col("word").isin(roots) & (share < MIN_SHARE)).select("word").collect()}
         lexicon |= {w: lexicon[w[:-1]] for w in roots if w not in against}
+    dropped(rows, evidence)
 
     def bare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = Finder(Model(letters, lexicon, 0.0))
