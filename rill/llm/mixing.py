@@ -32,13 +32,12 @@ PART_BLOCKS = 64
 def apportioned(rows: DataFrame, group: str, *order: str) -> DataFrame:
     """`rows` with `given`: Sainte-Laguë seats of each row among those of its `group`.
 
-    `rows` have `votes` (not negative) and `seats`, the same for a whole group; `order` tells the rows of a group
-    apart and settles ties. Seats of groups without votes are not given.
+    `rows` have `votes` (not negative), and the same for a whole group `seats`, `all_votes`, their sum, and `voters`,
+    the number of rows with votes or more; `order` tells the rows of a group apart and settles ties. Seats of groups
+    without votes are not given.
     """
-    of = rows.groupBy(group).agg(F.sum(F.col("votes").cast("double")).alias("all_votes"), F.count_if(F.col("votes") > 0).alias("voters"))
-    met = rows.join(of, group)
     price = F.when((F.col("all_votes") > 0) & (F.col("seats") > 0), F.col("votes") / (F.col("all_votes") / F.col("seats")))
-    rounded = saved(met.withColumn("rounded", F.coalesce(F.floor(price + 0.5), F.lit(0))))
+    rounded = saved(rows.withColumn("rounded", F.coalesce(F.floor(price + 0.5), F.lit(0))))
     lacks = rounded.groupBy(group).agg((F.max("seats") - F.sum("rounded")).alias("lack")).where("lack <> 0")
     mended = saved(rounded.where("all_votes > 0").join(lacks, group))
     if mended.isEmpty():
@@ -84,7 +83,9 @@ def plan_sources(sizes: DataFrame) -> DataFrame:
     named = saved(numbered(sizes, "source_no", *order).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("source_no") % len(WEIGHTS) + 1).cast("int"))))
     n, total = named.agg(F.count(F.lit(1)), F.sum("source_size")).first()
     block = max(1, min(BLOCK, (total or 0) // (max(1, n) * FINENESS)))
-    seats = with_targets(named).withColumn("votes", F.col("target")).withColumn("seats", F.lit(round((total or 0) / block))).withColumn("all", F.lit(0))
+    aimed = saved(with_targets(named))
+    votes = {"votes": F.col("target"), "all_votes": F.lit(aimed.agg(F.sum("target")).first()[0] or 0.0), "voters": F.lit(n)}
+    seats = aimed.withColumns(votes | {"seats": F.lit(round((total or 0) / block)), "all": F.lit(0)})
     parts = F.greatest(F.lit(1), F.ceil(F.col("docs") / SHARD), F.floor(F.col("source_size") / (PART_BLOCKS * block)))
     gives = F.least(F.col("given") * block, F.col("source_size") * MOST).alias("gives")
     return apportioned(seats, "all", "source_no").select("source", "source_no", "source_size", "target", gives, F.least(parts, F.col("docs")).alias("parts"))
@@ -130,7 +131,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     planned = saved(plan_sources(narrow.groupBy("source").agg(F.sum("rill_size").alias("source_size"), F.count(F.lit(1)).alias("docs"))))
     same = lambda a, b: F.col(a).cast("string").eqNullSafe(F.col(b))
     dealt = narrow.alias("n").join(planned.alias("p"), same("n.source", "p.source")).withColumn("part", _part("p.parts"))
-    sums = dealt.groupBy("p.source_no", "part").agg(F.sum("rill_size").alias("votes"), F.max("p.gives").alias("seats"))
+    once = {"gives": "seats", "source_size": "all_votes", "parts": "voters"}
+    sums = dealt.groupBy("p.source_no", "part").agg(F.sum("rill_size").alias("votes"), *(F.max(f"p.{a}").alias(b) for a, b in once.items()))
     quotas = apportioned(sums, "source_no", "part").select(
         F.col("source_no").alias("rill_no"), F.col("part").alias("rill_part"), F.struct(F.col("votes").alias("size"), F.col("given").alias("quota")).alias("rill_quota")
     )

@@ -36,9 +36,9 @@ def test_apportionment_is_by_highest_quotients(spark):
     r = random.Random(3)
     groups = [([r.randrange(10**6) for _ in range(r.randrange(1, 12))], r.randrange(400)) for _ in range(60)]
     groups += [([0, 0], 5), ([7] * 9, 4), ([10**6] + [1] * 200, 900), ([10**6] + [2200] * 200, 900), ([3], 10), ([1, 2], 0), ([10, 20], 90), ([5] * 8, 17)]
-    rows = [(g, i, float(v), n) for g, (votes, n) in enumerate(groups) for i, v in enumerate(votes)]
+    rows = [(g, i, float(v), n, float(sum(votes)), len(votes)) for g, (votes, n) in enumerate(groups) for i, v in enumerate(votes)]
     got = defaultdict(dict)
-    for x in mixing.apportioned(spark.createDataFrame(rows, "g int, i int, votes double, seats long"), "g", "i").collect():
+    for x in mixing.apportioned(spark.createDataFrame(rows, "g int, i int, votes double, seats long, all_votes double, voters long"), "g", "i").collect():
         got[x.g][x.i] = x.given
     for g, (votes, n) in enumerate(groups):
         given_ = [got[g][i] for i in range(len(votes))]
