@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rill.llm import mixing, packing, quality, secrets, simhash
-from rill.llm.common import saved
+from rill.llm.common import dropped, saved
 from rill.sources.tables import table
 
 
@@ -53,8 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows, from `documents` on."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows, from `documents` on. A stage's table is removed once the next one's is written; packing
+    writes what it needs of the last one before it returns."""
+    docs, former = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if former is not None:
+            dropped(former)
+        former = docs
+    packed = STAGES[-1][1](spark, docs, sf_dir)
+    dropped(former)
+    return packed
