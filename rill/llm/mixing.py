@@ -25,6 +25,8 @@ from rill.llm.common import dropped, numbered, saved, words
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, 7
 #: Documents in a part of a source on average; the longest block; blocks that an average source is to have.
 SHARD, BLOCK, FINENESS = 2_000, 64, 4096
+#: Tasks over which the rows of one group of an apportionment are spread.
+SALTS = 64
 #: Blocks of words from which a source is divided although its documents are few.
 PART_BLOCKS = 64
 
@@ -52,8 +54,9 @@ def apportioned(rows: DataFrame, group: str, *order: str) -> DataFrame:
         F.col("votes") / (2 * (F.col("rounded") - F.col("step")) + 1)
     )
     queue = numbered(near.withColumn("quotient", quotient), "place", F.col(group), F.col("quotient"), *map(F.col, order))
-    first = queue.groupBy(group).agg(F.min("place").alias("first"))
-    chosen = queue.join(first, group).where(F.col("place") - F.col("first") < F.abs("lack"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")  # a group's rows meet its first in many tasks
+    first = queue.groupBy(group).agg(F.min("place").alias("first")).select(group, "first", salts)
+    chosen = queue.withColumn("salt", F.col("place") % SALTS).join(first, [group, "salt"]).where(F.col("place") - F.col("first") < F.abs("lack"))
     changes = saved(chosen.groupBy(group, *order).agg(F.sum(F.signum("lack")).cast("long").alias("change")))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in (group, *order)]
     given = (F.col("r.rounded") + F.coalesce("c.change", F.lit(0))).alias("given")
