@@ -31,6 +31,8 @@ from rill.llm.common import dropped, per_worker, saved
 WINDOW, ANCHOR = 35, 12
 #: Words whose hashes a worker remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
+#: Words that a task works on at once, if no text is longer; each takes about 300 bytes.
+BLOCK = 400_000
 BASE = 0x9E3779B97F4A7C15
 KEY = ("doc_id", "text_hash")
 
@@ -113,14 +115,14 @@ WINDOWS = "anchor long, place long, window long, doc_id long, text_hash long, s
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text_hash, text); a batch is worked on in blocks of about a million words."""
+    """Of (doc_id, text_hash, text); a batch is worked on in blocks of about `BLOCK` words."""
     hasher = per_worker(("words",), WordHasher)
     names = [f.split()[0] for f in PIECES.split(", ")]
     for b in batches:
         row = 0
         while row < b.num_rows:
             block, sizes, first, total = [], [], row, 0
-            while row < b.num_rows and total < 1_000_000:
+            while row < b.num_rows and total < BLOCK:
                 words = (b.column(2)[row].as_py() or "").encode().split()
                 block.append(hasher(words))
                 sizes.append(len(words))
