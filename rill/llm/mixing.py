@@ -144,11 +144,11 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     placed = placed.withColumn("rill_no", F.col("rill_plan.source_no")).withColumn("rill_part", _part("rill_plan.parts"))
     kept = saved(quotas)
     dropped(narrow)
-    met = placed.join(kept, ["rill_no", "rill_part"])
+    met = placed.join(kept, ["rill_no", "rill_part"], "left")  # rows without words may be alone in a part
     ahead = F.sum("rill_size").over(
         Window.partitionBy("rill_no", "rill_part").orderBy("rill_order", "rill_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ) - F.col("rill_size")
-    size, quota = F.col("rill_quota.size"), F.col("rill_quota.quota")
+    size, quota = (F.coalesce(f"rill_quota.{c}", F.lit(0)) for c in ("size", "quota"))
     passes = F.when(size > 0, F.expr("rill_quota.quota div rill_quota.size")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("rill_size"), quota - passes * size - F.col("rill_ahead")))
     taken = (passes * F.col("rill_size") + part).cast("long")

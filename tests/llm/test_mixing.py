@@ -147,3 +147,11 @@ def test_parts_are_of_bounded_size(spark, tmp_path, monkeypatch):
 def test_many_small_sources(spark):
     rows = [(i, prose(i, 10 + i % 7), f"s{i // 2:04d}") for i in range(1200)] + [(10_000 + i, prose(i, 200), "z") for i in range(300)]
     check(rows, mixing.mix(docs(spark, rows)).collect())
+
+
+def test_rows_without_words_stay_wherever_they_are_dealt(spark, monkeypatch):
+    real, blank = mixing._narrow, mixing.F.col("rill_size") == 0
+    other = mixing.F.when(blank, mixing.F.xxhash64("rill_order", mixing.F.lit(1))).otherwise(mixing.F.col("rill_order"))
+    monkeypatch.setattr(mixing, "_narrow", lambda sized: real(sized.withColumn("rill_order", other)))
+    rows = [(i, prose(i, 900) if i % 3 else " ", "a" if i % 2 else None) for i in range(24)]
+    check(rows, mixing.mix(docs(spark, rows)).collect())
