@@ -21,8 +21,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-W = "epoch_ms(ts)//86400000"
-H = "epoch_ms(ts)//3600000"
+# in microseconds, for epoch_ms rounds up to the next window
+W = "epoch_us(ts)//86400000000"
+H = "epoch_us(ts)//3600000000"
 EC = "events join customer on user_id=c_custkey"
 
 CAMPAIGN_UUIDS = ("4a6b1f0c-9d2e-4c57-8f31-000000000001", "00000010-0000-4000-8000-00000000000a", "ffffffff-1111-4222-8333-444444444444")
@@ -433,7 +434,7 @@ def wa_count(spark, d):
     return A.window_counts(A.with_window(table(spark, d, "events")), "wid")
 
 
-@query("wa_ten_seconds", "select epoch_ms(ts)//10000 wid,count(*) cnt,max(ts) met from events group by 1")
+@query("wa_ten_seconds", "select epoch_us(ts)//10000000 wid,count(*) cnt,max(ts) met from events group by 1")
 def wa_ten_seconds(spark, d):
     return A.window_counts(A.with_window(table(spark, d, "events"), 10_000), "wid")
 
