@@ -2,17 +2,20 @@
 
 Edges are the windows of `WINDOW` words, nodes their overlaps. A window's anchor is the smallest hash among its
 runs of `ANCHOR` words, so equal windows have equal anchors at equal places. Consecutive windows of a text that
-share an anchor are one compacted piece of path, with the text and the place of its first window as source
-coordinates: about one row for twelve words leaves the scan.
-
-* An anchor met once has no repeated window. One aggregate and one join drop these, most of the corpus.
-* If all pieces at an anchor are equal, the path does not branch there, and all their windows repeat.
-* Elsewhere the path branches: equal pieces that occur twice repeat as a whole; pieces that occur once are
-  verified window by window, at their source coordinates, against one instance of each other piece there.
-
-Runs of words are compared by 64-bit hashes of anchor and window together. Counts are combined before each
-exchange, and every join meets unique keys on one side, so a passage in a third of all texts is split by
-adaptive execution instead of meeting in one task.
+share an anchor leave the scan as one piece, an edge of several windows, with the text and the place of its first
+window as source coordinates: about one row for twelve words.
+
+* An anchor met once has no repeated window. One count and one join drop these, most of the corpus.
+* Pieces are counted, and those that occur twice are the repeated edges. A node between two of them does not branch
+  if the occurrences that leave the one are all those that enter the other. A join over source coordinates finds
+  these nodes; the edges there compact into one path, which all its occurrences run through from end to end.
+* A path's words are read at its first source coordinates. Every occurrence has its own words compared with them,
+  by a digest of 128 bits, before it is removed.
+* At anchors where some pieces occur once the graph branches within a piece: there windows are compared one by one,
+  by their words at the source coordinates of one instance of each piece.
+
+Counts are combined before each exchange, and every join meets unique keys on one side, so a passage in a third of
+all texts is split by adaptive execution instead of meeting in one task.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ REMEMBERED, LONGEST_REMEMBERED = 500_000, 64
 BLOCK = 400_000
 BASE = 0x9E3779B97F4A7C15
 KEY = ("doc_id", "text_hash")
+#: Bits of a coordinate's hash in each of two sums: these hold 2^39 occurrences of an edge.
+SUMMED = 24
 
 
 class WordHasher:
@@ -111,7 +116,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 PIECES = "anchor long, piece long, doc_id long, text_hash long, s long, n long"
-WINDOWS = "anchor long, place long, window long, doc_id long, text_hash long, s long, weight long"
+#: Of a window: its place at the anchor, its hash, and 2 if its piece repeats, else 1. Of a path: no place, its first
+#: piece, its windows, and the digest of its words.
+READ = "anchor long, place long, code long, doc_id long, text_hash long, s long, n long, digest binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,23 +143,54 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(piece), ids, hashes, pa.array(s), pa.array(n)], names)
 
 
-def _asked_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (doc_id, text_hash, text, asks): hashes of the asked pieces' windows, with their places at the anchor."""
+def span_digest(words: list[bytes], s: int, n: int) -> bytes:
+    """Digest of the words of the `n` windows from word `s` on."""
+    return hashlib.blake2b(b" ".join(words[s : s + n + WINDOW - 1]), digest_size=16).digest()
+
+
+def _paths(asks: list[dict]) -> Iterator[tuple[dict, int]]:
+    """The first edge and the windows of each path of a text's repeated edges; a joined edge follows the one before."""
+    first, n = None, 0
+    for a in sorted((a for a in asks if a["repeats"]), key=lambda a: a["s"]):
+        if first and not a["joined"]:
+            yield first, n
+        if not a["joined"]:
+            first, n = a, 0
+        n += a["n"]
+    if first:
+        yield first, n
+
+
+def _windows(words: list[bytes], asks: list[dict], hasher: WordHasher) -> Iterator[tuple[dict, int, int, int]]:
+    """(ask, place at the anchor, hash of the words, first word) of each window of the asked pieces."""
+    line, at = b" ".join(words), [0]
+    for w in words:
+        at.append(at[-1] + len(w) + 1)
+    runs = run_hashes(hasher(words), ANCHOR)
+    for a in asks:
+        p = a["s"] + int(runs[a["s"] : a["s"] + WINDOW - ANCHOR + 1].argmin())
+        for s in range(a["s"], a["s"] + a["n"]):
+            code = xxhash.xxh3_64_intdigest(line[at[s] : at[s + WINDOW] - 1])
+            yield a, p - s, code - (code >> 63 << 64), s
+
+
+def _read_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (doc_id, text_hash, text, asks): what the texts have at the coordinates that the asks name, as `READ`."""
     hasher = per_worker(("words",), WordHasher)
-    names = [f.split()[0] for f in WINDOWS.split(", ")]
+    names = [f.split()[0] for f in READ.split(", ")]
+    kinds = [pa.int64()] * 7 + [pa.binary()]
     for b in batches:
-        parts: list[list[np.ndarray]] = []
-        for row, (text, asks) in enumerate(zip(_texts(b, 2), b.column(3).to_pylist(), strict=True)):
-            x = hasher(text.split())
-            windows, runs = run_hashes(x, WINDOW), run_hashes(x, ANCHOR)
-            for a in asks:
-                s = np.arange(a["s"], a["s"] + a["n"])
-                p = a["s"] + int(runs[a["s"] : a["s"] + WINDOW - ANCHOR + 1].argmin())
-                full = np.full(len(s), 1, np.int64)
-                parts.append([full * a["anchor"], p - s, windows[s].view(np.int64), full * row, s, full * a["weight"]])
-        anchor, place, window, row, s, weight = map(np.concatenate, zip(*parts, strict=True)) if parts else [np.empty(0, np.int64)] * 6
-        ids, hashes = (b.column(k).take(pa.array(row)) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(place), pa.array(window), ids, hashes, pa.array(s), pa.array(weight)], names)
+        keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        for key, text, asks in zip(keys, _texts(b, 2), b.column(3).to_pylist(), strict=True):
+            words = text.split()
+            rows = [(a["anchor"], None, a["piece"], *key, a["s"], n, span_digest(words, a["s"], n)) for a, n in _paths(asks)]
+            compared = [a for a in asks if a["compared"]]
+            if compared:
+                found = _windows(words, compared, hasher)
+                rows += [(a["anchor"], place, code, *key, s, 1 + a["repeats"], None) for a, place, code, s in found]
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -165,26 +203,51 @@ def _same_key(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
 
+def _coordinates(s) -> tuple:
+    """Two sums of hashes that stand for the coordinates at which word `s` is met."""
+    h, low = F.xxhash64(*KEY, s), (1 << SUMMED) - 1
+    return F.sum(F.shiftright(h, 64 - SUMMED)), F.sum(h.bitwiseAND(F.lit(low)))
+
+
+def graph_edges(met: DataFrame) -> DataFrame:
+    """(anchor, piece, doc_id, text_hash, s, n, repeats, compared, joined) of the different pieces of `met` that need
+    their words read; the coordinates are those of a piece's first occurrence.
+
+    An edge is `joined` if the node before it does not branch: a repeated edge ends where this one begins, and the
+    occurrences of both meet there, every one of them. Then their first occurrences meet there too, so the join looks
+    at these. An edge is `compared` if its anchor has other pieces too, and one of all these occurs once.
+    """
+    sums = [*_coordinates(F.col("s")), *_coordinates(F.col("s") + F.col("n"))]
+    named = [x.alias(k) for x, k in zip(sums, ("in_a", "in_b", "out_a", "out_b"), strict=True)]
+    first = F.min(F.struct(*KEY, "s", "n")).alias("at")
+    counted = met.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("c"), first, *named)
+    edges = saved(counted.select("*", "at.*").drop("at"))
+    variants = edges.groupBy("anchor").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("least"))
+    forks = variants.where("k > 1 and least = 1").select("anchor", F.lit(True).alias("fork"))
+    before = edges.where("c > 1").select(*KEY, (F.col("s") + F.col("n")).alias("s"), "c", "out_a", "out_b")
+    node = (F.col("e.s") == F.col("b.s")) & (F.col("e.c") == F.col("b.c")) & (F.col("in_a") == F.col("b.out_a")) & (F.col("in_b") == F.col("b.out_b"))
+    flagged = edges.join(forks, "anchor", "left").where("c > 1 or fork").alias("e").join(before.alias("b"), _same_key("e", "b") & node, "left")
+    flags = ((F.col("e.c") > 1).alias("repeats"), F.col("fork").isNotNull().alias("compared"), F.col("b.c").isNotNull().alias("joined"))
+    return flagged.select("anchor", "piece", *(f"e.{k}" for k in (*KEY, "s", "n")), *flags)
+
+
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, s, n): runs of n windows from word s that all start elsewhere too. `docs` as by `_keyed`."""
+    """(doc_id, text_hash, s, n, digest): runs of n windows from word s that all start elsewhere too. `docs` as by
+    `_keyed`. A run with a digest counts only if its words have that digest."""
     pieces = saved(docs.select(*KEY, "text").mapInArrow(_pieces, PIECES))
-    anchors = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("piece").alias("lo"), F.max("piece").alias("hi"))
-    twice = saved(anchors.where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("branches")))
+    twice = saved(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
     met = saved(pieces.join(twice, "anchor"))
-    dropped(pieces)
-    straight = met.where("not branches").select(*KEY, "s", "n")
-    forks = met.where("branches").drop("branches")
-    source = F.struct(*KEY, "s", "n")
-    variants = saved(forks.groupBy("anchor", "piece").agg(F.count(F.lit(1)).alias("c"), F.min(source).alias("at")))
-    alike = forks.join(variants.where("c > 1").select("anchor", "piece"), ["anchor", "piece"], "left_semi").select(*KEY, "s", "n")
-    ask = F.struct("anchor", "at.s", "at.n", F.least("c", F.lit(2)).alias("weight"))
-    asks = variants.groupBy("at.doc_id", "at.text_hash").agg(F.collect_list(ask).alias("asks"))
+    dropped(pieces, twice)
+    ask = F.struct("anchor", "piece", "s", "n", "repeats", "compared", "joined")
+    asks = graph_edges(met).groupBy(*KEY).agg(F.collect_list(ask).alias("asks"))
     asked = docs.alias("d").join(asks.alias("a"), _same_key("d", "a")).select("d.doc_id", "d.text_hash", "d.text", "a.asks")
-    windows = saved(asked.mapInArrow(_asked_windows, WINDOWS).distinct())
-    edge = ["anchor", "place", "window"]
-    again = saved(windows.groupBy(*edge).agg(F.sum("weight").alias("w")).where("w > 1").select(*edge))
-    lone = windows.where("weight = 1").join(again, edge, "left_semi").select(*KEY, "s", F.lit(1).cast("long").alias("n"))
-    return straight.unionByName(alike).unionByName(lone)
+    read = saved(asked.mapInArrow(_read_sources, READ).distinct())
+    paths = read.where("digest is not null").select("anchor", F.col("code").alias("piece"), F.col("n").alias("length"), "digest")
+    spans = met.join(paths.dropDuplicates(["anchor", "piece"]), ["anchor", "piece"]).select(*KEY, "s", F.col("length").alias("n"), "digest")
+    windows, edge = read.where("digest is null"), ["anchor", "place", "code"]
+    again = saved(windows.groupBy(*edge).agg(F.sum("n").alias("w")).where("w > 1").select(*edge))
+    lone = windows.where("n = 1").join(again, edge, "left_semi").select(*KEY, "s", "n", "digest")
+    return spans.unionByName(lone)
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -198,7 +261,8 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans:
                 kept = np.ones(len(words), bool)
                 for x in spans:
-                    kept[x["s"] : x["s"] + x["n"] + WINDOW - 1] = False
+                    if x["digest"] is None or x["digest"] == span_digest(words, x["s"], x["n"]):
+                        kept[x["s"] : x["s"] + x["n"] + WINDOW - 1] = False
                 left = [words[i] for i in np.flatnonzero(kept).tolist()]
             else:
                 left = words
@@ -216,6 +280,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null, blank and shorter texts lose nothing. Repeated rows count as occurrences of each other.
     """
     keyed = _keyed(docs)
-    spans = repeated_spans(keyed).distinct().groupBy(*KEY).agg(F.collect_list(F.struct("s", "n")).alias("spans"))
+    spans = repeated_spans(keyed).distinct().groupBy(*KEY).agg(F.collect_list(F.struct("s", "n", "digest")).alias("spans"))
     met = keyed.alias("d").join(spans.alias("x"), _same_key("d", "x"), "left")
     return met.select("d.doc_id", "d.text", "x.spans").mapInArrow(_removed, RESULT)
