@@ -14,8 +14,8 @@ window as source coordinates: about one row for twelve words.
 * At anchors where some pieces occur once the graph branches within a piece: there windows are compared one by one,
   by their words at the source coordinates of one instance of each piece.
 
-Counts are combined before each exchange, and every join meets unique keys on one side, so a passage in a third of
-all texts is split by adaptive execution instead of meeting in one task.
+Counts are combined before each exchange, and every join meets unique keys on one side. Keys of a passage in a third
+of all texts are among the fewer than `HOT` that are broadcast, so its occurrences stay where they are.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ BASE = 0x9E3779B97F4A7C15
 KEY = ("doc_id", "text_hash")
 #: Bits of a coordinate's hash in each of two sums: these hold 2^39 occurrences of an edge.
 SUMMED = 24
+#: A key that makes up more than one in so many rows is broadcast to them: there are fewer than so many such keys.
+HOT = 1000
 
 
 class WordHasher:
@@ -116,9 +118,9 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 PIECES = "anchor long, piece long, doc_id long, text_hash long, s long, n long"
-#: Of a window: its place at the anchor, its hash, and 2 if its piece repeats, else 1. Of a path: no place, its first
-#: piece, its windows, and the digest of its words.
-READ = "anchor long, place long, code long, doc_id long, text_hash long, s long, n long, digest binary"
+#: Of a window: its place at the anchor and its hash. Of a path: no place, its first piece, its windows (n) and the
+#: digest of its words. c is how often the piece occurs.
+READ = "anchor long, place long, code long, doc_id long, text_hash long, s long, n long, c long, digest binary"
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +153,7 @@ def span_digest(words: list[bytes], s: int, n: int) -> bytes:
 def _paths(asks: list[dict]) -> Iterator[tuple[dict, int]]:
     """The first edge and the windows of each path of a text's repeated edges; a joined edge follows the one before."""
     first, n = None, 0
-    for a in sorted((a for a in asks if a["repeats"]), key=lambda a: a["s"]):
+    for a in sorted((a for a in asks if a["c"] > 1), key=lambda a: a["s"]):
         if first and not a["joined"]:
             yield first, n
         if not a["joined"]:
@@ -178,16 +180,16 @@ def _read_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Of (doc_id, text_hash, text, asks): what the texts have at the coordinates that the asks name, as `READ`."""
     hasher = per_worker(("words",), WordHasher)
     names = [f.split()[0] for f in READ.split(", ")]
-    kinds = [pa.int64()] * 7 + [pa.binary()]
+    kinds = [pa.int64()] * 8 + [pa.binary()]
     for b in batches:
         keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
         for key, text, asks in zip(keys, _texts(b, 2), b.column(3).to_pylist(), strict=True):
             words = text.split()
-            rows = [(a["anchor"], None, a["piece"], *key, a["s"], n, span_digest(words, a["s"], n)) for a, n in _paths(asks)]
+            rows = [(a["anchor"], None, a["piece"], *key, a["s"], n, a["c"], span_digest(words, a["s"], n)) for a, n in _paths(asks)]
             compared = [a for a in asks if a["compared"]]
             if compared:
                 found = _windows(words, compared, hasher)
-                rows += [(a["anchor"], place, code, *key, s, 1 + a["repeats"], None) for a, place, code, s in found]
+                rows += [(a["anchor"], place, code, *key, s, 1, a["c"], None) for a, place, code, s in found]
             if rows:
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -203,6 +205,18 @@ def _same_key(a: str, b: str):
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.text_hash") == F.col(f"{b}.text_hash"))
 
 
+def joined_by(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """`left`, a saved table, joined with the saved `counted`: unique keys, and how often (c) `left` has them.
+
+    More than one in `HOT` rows of `left` can have the same key for fewer than `HOT` keys. These are broadcast, and
+    rows of other keys are exchanged.
+    """
+    often = F.col("c") > left.count() // HOT
+    few = F.broadcast(counted.where(often))
+    rest = left.join(few.select(*keys), keys, "left_anti").join(counted.where(~often), keys)
+    return left.join(few, keys).unionByName(rest)
+
+
 def _coordinates(s) -> tuple:
     """Two sums of hashes that stand for the coordinates at which word `s` is met."""
     h, low = F.xxhash64(*KEY, s), (1 << SUMMED) - 1
@@ -210,7 +224,7 @@ def _coordinates(s) -> tuple:
 
 
 def graph_edges(met: DataFrame) -> DataFrame:
-    """(anchor, piece, doc_id, text_hash, s, n, repeats, compared, joined) of the different pieces of `met` that need
+    """(anchor, piece, doc_id, text_hash, s, n, c, compared, joined) of the different pieces of `met` that need
     their words read; the coordinates are those of a piece's first occurrence.
 
     An edge is `joined` if the node before it does not branch: a repeated edge ends where this one begins, and the
@@ -227,26 +241,27 @@ def graph_edges(met: DataFrame) -> DataFrame:
     before = edges.where("c > 1").select(*KEY, (F.col("s") + F.col("n")).alias("s"), "c", "out_a", "out_b")
     node = (F.col("e.s") == F.col("b.s")) & (F.col("e.c") == F.col("b.c")) & (F.col("in_a") == F.col("b.out_a")) & (F.col("in_b") == F.col("b.out_b"))
     flagged = edges.join(forks, "anchor", "left").where("c > 1 or fork").alias("e").join(before.alias("b"), _same_key("e", "b") & node, "left")
-    flags = ((F.col("e.c") > 1).alias("repeats"), F.col("fork").isNotNull().alias("compared"), F.col("b.c").isNotNull().alias("joined"))
-    return flagged.select("anchor", "piece", *(f"e.{k}" for k in (*KEY, "s", "n")), *flags)
+    flags = (F.col("fork").isNotNull().alias("compared"), F.col("b.c").isNotNull().alias("joined"))
+    return flagged.select("anchor", "piece", *(f"e.{k}" for k in (*KEY, "s", "n", "c")), *flags)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, s, n, digest): runs of n windows from word s that all start elsewhere too. `docs` as by
     `_keyed`. A run with a digest counts only if its words have that digest."""
     pieces = saved(docs.select(*KEY, "text").mapInArrow(_pieces, PIECES))
-    twice = saved(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("anchor"))
-    met = saved(pieces.join(twice, "anchor"))
+    twice = saved(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+    met = saved(joined_by(pieces, twice, ["anchor"]).drop("c"))
     dropped(pieces, twice)
-    ask = F.struct("anchor", "piece", "s", "n", "repeats", "compared", "joined")
+    ask = F.struct("anchor", "piece", "s", "n", "c", "compared", "joined")
     asks = graph_edges(met).groupBy(*KEY).agg(F.collect_list(ask).alias("asks"))
     asked = docs.alias("d").join(asks.alias("a"), _same_key("d", "a")).select("d.doc_id", "d.text_hash", "d.text", "a.asks")
     read = saved(asked.mapInArrow(_read_sources, READ).distinct())
-    paths = read.where("digest is not null").select("anchor", F.col("code").alias("piece"), F.col("n").alias("length"), "digest")
-    spans = met.join(paths.dropDuplicates(["anchor", "piece"]), ["anchor", "piece"]).select(*KEY, "s", F.col("length").alias("n"), "digest")
+    path = ("anchor", F.col("code").alias("piece"), F.col("n").alias("length"), "digest", "c")
+    paths = saved(read.where("digest is not null").select(*path).dropDuplicates(["anchor", "piece"]))
+    spans = joined_by(met, paths, ["anchor", "piece"]).select(*KEY, "s", F.col("length").alias("n"), "digest")
     windows, edge = read.where("digest is null"), ["anchor", "place", "code"]
-    again = saved(windows.groupBy(*edge).agg(F.sum("n").alias("w")).where("w > 1").select(*edge))
-    lone = windows.where("n = 1").join(again, edge, "left_semi").select(*KEY, "s", "n", "digest")
+    again = saved(windows.groupBy(*edge).agg(F.sum("c").alias("w")).where("w > 1").select(*edge))
+    lone = windows.where("c = 1").join(again, edge, "left_semi").select(*KEY, "s", "n", "digest")
     return spans.unionByName(lone)
 
 
