@@ -255,7 +255,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ask = F.struct("anchor", "piece", "s", "n", "c", "compared", "joined")
     asks = graph_edges(met).groupBy(*KEY).agg(F.collect_list(ask).alias("asks"))
     asked = docs.alias("d").join(asks.alias("a"), _same_key("d", "a")).select("d.doc_id", "d.text_hash", "d.text", "a.asks")
-    read = saved(asked.mapInArrow(_read_sources, READ).distinct())
+    read = saved(asked.mapInArrow(_read_sources, READ))  # equal rows give equal paths, made distinct, and windows of c > 1
     path = ("anchor", F.col("code").alias("piece"), F.col("n").alias("length"), "digest", "c")
     paths = saved(read.where("digest is not null").select(*path).dropDuplicates(["anchor", "piece"]))
     spans = joined_by(met, paths, ["anchor", "piece"]).select(*KEY, "s", F.col("length").alias("n"), "digest")
