@@ -109,10 +109,6 @@ def path_pieces(x: np.ndarray, ends: np.ndarray, window: int = WINDOW, anchor: i
     return runs[p], piece, s, count
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    return [(t or "").encode() for t in batch.column(column).to_pylist()]
-
-
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -182,9 +178,9 @@ def _read_sources(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     names = [f.split()[0] for f in READ.split(", ")]
     kinds = [pa.int64()] * 8 + [pa.binary()]
     for b in batches:
-        keys = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
-        for key, text, asks in zip(keys, _texts(b, 2), b.column(3).to_pylist(), strict=True):
-            words = text.split()
+        for row in range(b.num_rows):
+            doc_id, text_hash, text, asks = (b.column(k)[row].as_py() for k in range(4))
+            words, key = (text or "").encode().split(), (doc_id, text_hash)
             rows = [(a["anchor"], None, a["piece"], *key, a["s"], n, a["c"], span_digest(words, a["s"], n)) for a, n in _paths(asks)]
             compared = [a for a in asks if a["compared"]]
             if compared:
@@ -271,8 +267,9 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for doc_id, text, spans in zip(b.column(0).to_pylist(), _texts(b, 1), b.column(2).to_pylist(), strict=True):
-            words = text.split()
+        for row in range(b.num_rows):
+            doc_id, text, spans = (b.column(k)[row].as_py() for k in range(3))
+            words = (text or "").encode().split()
             if spans:
                 kept = np.ones(len(words), bool)
                 for x in spans:
