@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -213,10 +214,14 @@ def reduce_per_partition(spark, d):
 
 @query("aggregate_python", "select l_returnflag,max(l_quantity)-min(l_quantity) spread from lineitem group by 1")
 def aggregate_python(spark, d):
+    import pyarrow as pa
     import pyarrow.compute as pc
 
-    spread = lambda v: pc.max(v).as_py() - pc.min(v).as_py()
-    return mapreduce.aggregate_python(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", spread, "spread")
+    # NaN is the largest in SQL; of nulls alone there is no spread
+    highest = lambda v: math.nan if pc.any(pc.is_nan(v)).as_py() else pc.max(v).as_py()
+    lowest = lambda v: pc.min(v).as_py()
+    spread = lambda high, low: pc.subtract(pa.scalar(highest(high), pa.float64()), pc.min(low)).as_py()
+    return mapreduce.aggregate_python(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity", [highest, lowest], spread, "spread")
 
 
 @query("integer_file", "select cast(range as integer) v from range(1000)")

@@ -1,11 +1,14 @@
 import datetime as dt
+import math
 
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from rill.functions import predicates as P
 from rill.functions.scalar import campaign_number, epoch_millis, money_sum, times_ten, window_id
 from rill.operators import mapreduce, relational
+from rill.plans import registry
 
 
 def test_conditions_follow_sql_on_nulls(spark):
@@ -81,3 +84,26 @@ def test_a_partition_is_reduced_as_a_whole(spark):
         assert [r.v for r in mapreduce.combine_partitions_python(df, "v", len).collect()] == [20]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_an_opaque_aggregate_meets_part_of_a_group_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(mapreduce, "CHUNK", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        df = spark.range(0, 40, 1, 2).selectExpr("id % 2 a", "if(id % 2 = 0, null, struct(id % 4 b)) s", "id v")
+        got = mapreduce.aggregate_python(df, ["a", "s"], "v", [len, lambda v: pc.sum(v).as_py()], lambda n, _: pc.max(n).as_py(), "n")
+        assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString().split("Exchange")[-1]
+        assert max(r.n for r in got.collect()) <= 8
+        got = mapreduce.aggregate_python(df, ["a", "s"], "v", [len, lambda v: pc.sum(v).as_py()], lambda n, v: pc.sum(n).as_py() * 1000 + pc.sum(v).as_py(), "n")
+        assert {(r.a, r.s and r.s.b): r.n for r in got.collect()} == {(0, None): 20380, (1, 1): 10190, (1, 3): 10210}
+        assert [r.n for r in mapreduce.aggregate_python(df, [], "v", [len], lambda n: pc.sum(n).as_py(), "n").collect()] == [40]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_spread_of_nulls_and_nan(spark, monkeypatch):
+    rows = [("A", None), ("A", None), ("N", 1.0), ("N", None), ("N", 3.5), ("R", 2.0), ("R", math.nan), (None, -0.5), (None, -2.0)]
+    df = spark.createDataFrame(rows, "l_returnflag string, l_quantity double")
+    monkeypatch.setattr(registry, "table", lambda *_: df)
+    got = {r.l_returnflag: r.spread for r in registry.QUERIES["aggregate_python"](spark, "").collect()}
+    assert math.isnan(got.pop("R")) and got == {"A": None, "N": 2.5, None: 1.5}
